@@ -36,11 +36,13 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
-    """Round every DOUBLE column (presentation step of a registered query)."""
+    """Presentation step of a registered query: round DOUBLEs, widen small ints to BIGINT."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(F.round(F.col(f.name), places).alias(f.name))
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            cols.append(F.col(f.name).cast("bigint").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -55,5 +57,6 @@ def round_sql(inner: str, doubles: list[str], places: int = 4) -> str:
 def load_all() -> None:
     """Import the modules that register queries."""
     from paxcast.plans import (  # noqa: F401
+        q_features,
         q_forecast,
     )
