@@ -64,6 +64,25 @@ def latest_available(spark: SparkSession, reference_time) -> DataFrame:
         "data_type", (ref - F.make_dt_interval(hours=F.col("delay_hours"))).alias("latest_available"))
 
 
+def latest_available_for(df: DataFrame, reference_time, type_col: str = "data_type",
+                         ts: str = "timestamp") -> DataFrame:
+    """G2 over a mixed table: for each source type present, the latest usable
+    timestamp, the latest row that is actually usable and the row count.
+
+    One aggregation per type (partial before the shuffle); the five-row delay
+    dimension is broadcast.
+    """
+    ref = F.lit(_as_ts(reference_time)).cast("timestamp_ntz")
+    d = F.broadcast(delay_dim(df.sparkSession).withColumnRenamed("data_type", type_col))
+    bound = ref - F.make_dt_interval(hours=F.col("delay_hours"))
+    j = df.select(type_col, ts).join(d, type_col)
+    return j.groupBy(type_col, "delay_hours").agg(
+        F.max(F.when(F.col(ts) <= bound, F.col(ts))).alias("latest_row"),
+        F.count(F.lit(1)).alias("rows_total"),
+    ).select(type_col, (ref - F.make_dt_interval(hours=F.col("delay_hours"))).alias("latest_available"),
+             "latest_row", "rows_total")
+
+
 def validate_timeline(df: DataFrame, feature_timestamps: dict[str, str], reference_time) -> DataFrame:
     """Per feature type, whether every row meets its delay, and the violations.
 

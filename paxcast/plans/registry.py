@@ -36,11 +36,17 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
-    """Presentation step of a registered query: round DOUBLEs, widen small ints to BIGINT."""
+    """Presentation step of a registered query: round DOUBLEs, widen small ints to BIGINT.
+
+    Rounding is ``rint(x * 10^p) / 10^p`` (IEEE half-even on the scaled
+    double), the same operations as ``round_even(x, 0)`` in the DuckDB oracle, so a
+    tie rounds the same way in both engines.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            scale = float(10 ** places)
+            cols.append((F.rint(F.col(f.name) * scale) / scale).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             cols.append(F.col(f.name).cast("bigint").alias(f.name))
         else:
@@ -50,12 +56,14 @@ def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
 
 def round_sql(inner: str, doubles: list[str], places: int = 4) -> str:
     """Wrap ``inner`` so the listed DOUBLE columns are rounded like ``round_doubles``."""
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE), {places}) AS {c}" for c in doubles)
+    scale = f"CAST({10 ** places} AS DOUBLE)"
+    repl = ", ".join(f"round_even(CAST({c} AS DOUBLE) * {scale}, 0) / {scale} AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{inner}\n) AS q"
 
 
 def load_all() -> None:
     """Import the modules that register queries."""
     from paxcast.plans import (  # noqa: F401
+        q_features,
         q_forecast,
     )
