@@ -51,8 +51,10 @@ def blend_forecast(dense: DataFrame, key: str = "series", default_growth: float
         F.avg(t).over(w.rowsBetween(-104, -53)).alias("_prev"),
         F.stddev_samp(t).over(w.rowsBetween(-12, -1)).alias("_sd12"),
     )
-    growth = (F.when((F.col("week_idx") >= 104) & (F.col("_prev") > 0),
-                     F.col("_cur") / F.col("_prev") - 1.0)
+    # Two years of history: trailing-year growth (0 when the earlier year is
+    # empty). Less than two years: the caller's default growth.
+    growth = (F.when(F.col("week_idx") >= 104,
+                     F.when(F.col("_prev") > 0, F.col("_cur") / F.col("_prev") - 1.0).otherwise(F.lit(0.0)))
               .otherwise(F.lit(float(default_growth))))
     pred = WEIGHT_LAST_YEAR * F.col("_ly") * (1.0 + growth) + WEIGHT_RECENT * F.col("_r4")
     x = x.where(F.col("week_idx") >= min_weeks).withColumn("prediction", pred)
