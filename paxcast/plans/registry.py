@@ -66,4 +66,5 @@ def load_all() -> None:
     from paxcast.plans import (  # noqa: F401
         q_features,
         q_forecast,
+        q_signals,
     )

@@ -157,3 +157,15 @@ def order_stream(t: Tables) -> DataFrame:
         (_k() + 1).cast("bigint").alias("size"),
         ((F.col("event_id") % 97 + 1) / 100.0).alias("price"),
     )
+
+
+def quotes(ladder: DataFrame, week_no: str = "week_idx") -> DataFrame:
+    """X4 quotes for a contract ladder: deterministic YES/NO prices and a
+    market volume per ``(series, week_end, rung)``, standing in for the
+    recorded quotes of a real market."""
+    yes = ((F.col(week_no) * 7 + (F.col("rung") + 2) * 13) % 91 + 5) / 100.0
+    return ladder.select(
+        "*", yes.alias("yes_price"), (1.0 - yes).alias("no_price"),
+        ((F.col(week_no) * 37) % 1500).cast("double").alias("volume"),
+        (F.col("rung") + 3).alias("days_to_expiry"),
+    )
