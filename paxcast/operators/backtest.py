@@ -63,12 +63,17 @@ def eligible_weeks(daily: DataFrame, key: str = "series", date: str = "date", va
 
 
 def ladder(weeks: DataFrame, step: float = LADDER_STEP, rungs=LADDER_RUNGS,
-           prediction: str = "prediction") -> DataFrame:
-    """Thresholds around the prediction rounded half-even to ``step``;
-    non-positive thresholds are dropped."""
+           prediction: str = "prediction", keep_invalid: bool = False) -> DataFrame:
+    """Thresholds around the prediction rounded half-even to ``step``.
+
+    Non-positive thresholds are dropped, or with ``keep_invalid`` kept and
+    flagged ``valid = false`` (so a week with no valid rung still reaches
+    the per-week choice as a no-trade week)."""
     base = F.rint(F.col(prediction) / step) * step
     x = weeks.withColumn("rung", F.explode(F.array(*[F.lit(r) for r in rungs])))
     x = x.withColumn("threshold", (base + F.col("rung") * step).cast("bigint"))
+    if keep_invalid:
+        return x.withColumn("valid", F.coalesce(F.col("threshold") > 0, F.lit(False)))
     return x.where(F.col("threshold") > 0)
 
 
@@ -141,14 +146,19 @@ def weekly_backtest(daily: DataFrame, quotes, key: str = "series", date: str = "
     prices a ladder table.
     """
     weeks = eligible_weeks(daily, key, date, value, start, end)
-    lad = ladder(weeks, step)
+    lad = ladder(weeks, step, keep_invalid=True)
     if callable(quotes):
         contracts = quotes(lad)
     else:
         q = quotes.select(*quote_keys, "threshold", "yes_price", "no_price")
-        contracts = lad.join(q, [*quote_keys, "threshold"], "inner")
-    choice = signals.select_contract(contracts, (key, "week_end"), min_ev=min_ev)
-    res = weeks.join(choice, [key, "week_end"], "left")
+        contracts = lad.join(q, [*quote_keys, "threshold"], "left")
+        contracts = contracts.withColumn("valid", F.col("valid") & F.col("yes_price").isNotNull())
+    # The week's own columns ride through the per-week aggregation (grouping
+    # on them is free: all are fixed by (key, week_end)), so the week table
+    # is not joined back and its plan runs once; the aggregation reuses the
+    # forecast's hash partitioning on the key.
+    carry = ("monday", "week_idx", "prediction", "uncertainty", "actual")
+    res = signals.select_contract(contracts, (key, "week_end"), min_ev=min_ev, carry=carry, valid="valid")
     res = settle(res, bet=bet)
     return equity_curve(res, key, "week_end", capital)
 

@@ -100,7 +100,8 @@ def contract_analysis(contracts: DataFrame, threshold: str = "threshold", mean:
 
 def select_contract(contracts: DataFrame, event_keys=("series", "week_end"), position: str = "rung",
                     threshold: str = "threshold", mean: str = "prediction", std: str = "uncertainty",
-                    min_ev: float = MIN_EV, high_confidence: float = HIGH_CONFIDENCE) -> DataFrame:
+                    min_ev: float = MIN_EV, high_confidence: float = HIGH_CONFIDENCE, carry=(),
+                    valid: str | None = None) -> DataFrame:
     """The contract to trade for every event.
 
     A non-positive std becomes 5% of the prediction. If the highest
@@ -112,8 +113,13 @@ def select_contract(contracts: DataFrame, event_keys=("series", "week_end"), pos
     Returns one row per event: ``contract_threshold, side, confidence,
     expected_value, price, decision`` (null contract, side and price, 0
     figures for no trade).
+
+    ``carry`` names event-level columns (constant within an event) kept in
+    the output, so callers need no join back to their event table. With
+    ``valid``, rows where that column is false are not offered; an event
+    without any valid row is a no-trade row.
     """
-    keys = list(event_keys)
+    keys = list(event_keys) + [c for c in carry if c not in event_keys]
     sd = F.when(F.col(std) <= 0, F.col(mean) * 0.05).otherwise(F.col(std))
     x = contracts.withColumn("_sd", sd)
     x = x.withColumn("_p", prob_above(threshold, mean, "_sd"))
@@ -129,17 +135,20 @@ def select_contract(contracts: DataFrame, event_keys=("series", "week_end"), pos
                        (F.col("_p") - yes_p).alias("ev"), yes_p.alias("price"))
     no_opt = F.struct(F.col(threshold).alias("thr"), F.lit("no").alias("side"), (1.0 - F.col("_p")).alias("conf"),
                       ((1.0 - F.col("_p")) - no_p).alias("ev"), no_p.alias("price"))
+    ok = F.col(valid) if valid else F.lit(True)
+    # max_by skips rows whose ordering key is null: invalid rows get none.
     agg = x.groupBy(*keys).agg(
-        F.max_by(opt, F.col(threshold)).alias("_hi"),
-        F.max_by(yes_opt, yes_key).alias("_by"),
-        F.max_by(no_opt, no_key).alias("_bn"),
-        F.max(yes_key).alias("_ky"),
-        F.max(no_key).alias("_kn"),
+        F.max_by(opt, F.when(ok, F.col(threshold))).alias("_hi"),
+        F.max_by(yes_opt, F.when(ok, yes_key)).alias("_by"),
+        F.max_by(no_opt, F.when(ok, no_key)).alias("_bn"),
+        F.max(F.when(ok, yes_key)).alias("_ky"),
+        F.max(F.when(ok, no_key)).alias("_kn"),
     )
     best = F.when(F.col("_ky") >= F.col("_kn"), F.col("_by")).otherwise(F.col("_bn"))
     hi_ok = (F.col("_hi.p") >= high_confidence) & (F.col("_hi.ev_yes") >= min_ev)
     agg = agg.withColumn("_best", best)
-    best_ok = F.col("_best.ev") >= min_ev
+    best_ok = F.coalesce(F.col("_best.ev") >= min_ev, F.lit(False))
+    hi_ok = F.coalesce(hi_ok, F.lit(False))
     decision = F.when(hi_ok, F.lit("high_confidence")).when(best_ok, F.lit("best_ev")).otherwise(F.lit("no_trade"))
     return agg.select(
         *keys,

@@ -64,6 +64,7 @@ def round_sql(inner: str, doubles: list[str], places: int = 4) -> str:
 def load_all() -> None:
     """Import the modules that register queries."""
     from paxcast.plans import (  # noqa: F401
+        q_backtest,
         q_features,
         q_forecast,
         q_signals,

@@ -169,3 +169,11 @@ def quotes(ladder: DataFrame, week_no: str = "week_idx") -> DataFrame:
         ((F.col(week_no) * 37) % 1500).cast("double").alias("volume"),
         (F.col("rung") + 3).alias("days_to_expiry"),
     )
+
+
+def ledger_targets(t: Tables) -> DataFrame:
+    """Daily target positions and prices per account for the ledger (N8):
+    X7's signed order count as the target and a deterministic price."""
+    r = returns(t)
+    price = ((F.dayofyear("date") % 89) + 5) / 100.0
+    return r.select("account", "date", F.col("position").alias("target"), price.alias("price"))
