@@ -67,5 +67,6 @@ def load_all() -> None:
         q_backtest,
         q_features,
         q_forecast,
+        q_risk,
         q_signals,
     )
