@@ -69,4 +69,5 @@ def load_all() -> None:
         q_forecast,
         q_risk,
         q_signals,
+        q_sources,
     )
