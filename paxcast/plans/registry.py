@@ -65,6 +65,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from paxcast.plans import (  # noqa: F401
         q_backtest,
+        q_causal,
         q_features,
         q_forecast,
         q_risk,
