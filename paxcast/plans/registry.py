@@ -68,6 +68,7 @@ def load_all() -> None:
         q_causal,
         q_features,
         q_forecast,
+        q_models,
         q_risk,
         q_signals,
         q_sources,
