@@ -69,6 +69,7 @@ def load_all() -> None:
         q_features,
         q_forecast,
         q_models,
+        q_orders,
         q_risk,
         q_signals,
         q_sources,
