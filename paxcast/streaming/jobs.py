@@ -109,15 +109,15 @@ def order_cooldown_stream(orders: DataFrame, cooldown_seconds: float = TRADE_COO
     """Accept an order only if ``cooldown_seconds`` passed since the
     account's last *accepted* order; the state is that one timestamp."""
     ok, msg = static_check()
-    x = orders.select("account", "event_id", "ts", ok.alias("_ok"), msg.alias("_msg"))
+    x = orders.select("account", "event_id", "ts", ok.alias("static_ok"), msg.alias("static_msg"))
 
     def step(key, pdfs, state):
         last = state.get[0] if state.exists else None
         out = []
         for pdf in pdfs:
             for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if not r._ok:
-                    out.append((key[0], r.event_id, r.ts, False, r._msg))
+                if not r.static_ok:
+                    out.append((key[0], r.event_id, r.ts, False, r.static_msg))
                     continue
                 ts = pd.Timestamp(r.ts)
                 if last is not None and (ts - pd.Timestamp(last)).total_seconds() < cooldown_seconds:
