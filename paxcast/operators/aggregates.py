@@ -19,11 +19,11 @@ def weather_features(processed_weather: DataFrame, date: str = "date") -> DataFr
         F.max("wind_speed").alias("max_wind_speed"),
         F.sum("precipitation").alias("total_precipitation"),
     )
-    max_wind = e1.select(F.max("max_wind_speed")).scalar()
-    max_precip = e1.select(F.max("total_precipitation")).scalar()
+    # Both maxima in one scalar subquery (one pass over the per-date table).
+    mx = e1.select(F.struct(F.max("max_wind_speed").alias("w"), F.max("total_precipitation").alias("p"))).scalar()
     sev = (F.col("severe_weather_airports") * 0.4
-           + F.try_divide(F.col("max_wind_speed"), F.nullif(max_wind, F.lit(0.0))) * 0.3
-           + F.try_divide(F.col("total_precipitation"), F.nullif(max_precip, F.lit(0.0))) * 0.3)
+           + F.try_divide(F.col("max_wind_speed"), F.nullif(mx["w"], F.lit(0.0))) * 0.3
+           + F.try_divide(F.col("total_precipitation"), F.nullif(mx["p"], F.lit(0.0))) * 0.3)
     return e1.withColumn("weather_severity_index", sev)
 
 
