@@ -16,8 +16,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from paxcast.operators import backtest, forecast  # noqa: E402
 from paxcast.plans import registry  # noqa: E402
 from paxcast.session import local_session  # noqa: E402
+from paxcast.sources import fixtures  # noqa: E402
+from paxcast.sources.tables import Tables  # noqa: E402
 
 HEADLINE = [
     "weekly_forecast",
@@ -30,6 +35,24 @@ HEADLINE = [
 ]
 
 
+def series_scaling(spark, sf_dir, factors=(1, 10, 100)) -> dict:
+    """Forecast (I1) and backtest summary (N6) with the series replicated
+    k times at the same history length (each daily row becomes k series)."""
+    out = {}
+    daily = fixtures.daily_counts(Tables(spark, sf_dir))
+    for k in factors:
+        rep = daily.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))) \
+            .withColumn("series", F.concat_ws("-", F.col("series"), F.col("_r").cast("string"))).drop("_r")
+        t0 = time.perf_counter()
+        forecast.weekly_forecast(rep).write.format("noop").mode("overwrite").save()
+        t1 = time.perf_counter()
+        weeks = backtest.weekly_backtest(rep, fixtures.quotes, start="1993-01-01", step=100_000.0)
+        backtest.summary(weeks, rep).write.format("noop").mode("overwrite").save()
+        t2 = time.perf_counter()
+        out[f"x{k}"] = {"weekly_forecast": round(t1 - t0, 3), "backtest_summary": round(t2 - t1, 3)}
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -44,6 +67,12 @@ def main() -> None:
         t0 = time.perf_counter()
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    scaling = None
+    if os.environ.get("BENCH_SCALING", "1") != "0":
+        try:
+            scaling = series_scaling(spark, sf_dir)
+        except Exception as e:  # noqa: BLE001 - the headline line must still print
+            scaling = {"error": f"{type(e).__name__}: {str(e)[:200]}"}
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -52,6 +81,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else None,
+        "series_scaling": scaling,
     }))
 
 
