@@ -44,7 +44,10 @@ WHERE date BETWEEN DATE '{S5_START}' AND DATE '{S5_END}' GROUP BY 1, 2"""
 @query("dedupe_extracts", "S5", round_sql(DEDUPE_SQL, ["passengers"]))
 def q_dedupe(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    li = t.lineitem
+    # The range as bounds on the raw timestamp as well, so it reaches the
+    # Parquet scan (a filter on to_date(...) cannot be pushed).
+    li = t.lineitem.where((F.col("l_shipdate") >= F.lit(S5_START).cast("timestamp_ntz"))
+                          & (F.col("l_shipdate") < F.date_add(F.lit(S5_END), 1).cast("timestamp_ntz")))
     ex = li.groupBy(F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("date"),
                     F.when(F.col("l_linestatus") == "F", 2).otherwise(1).alias("ingest_seq")) \
         .agg((F.sum("l_quantity") * 1000.0).alias("passengers"))
