@@ -46,9 +46,15 @@ def available(df: DataFrame, data_type: str, reference_time, ts: str = "timestam
 
 def available_by_type(df: DataFrame, reference_time, type_col: str = "data_type",
                       ts: str = "timestamp") -> DataFrame:
-    """G1 for a mixed table: delay looked up per row; unknown types fail the job."""
+    """G1 for a mixed table: delay looked up per row; an unknown type among
+    the rows old enough to be usable at all fails the job (rows newer than
+    the shortest delay are cut at the scan before the lookup)."""
     spark = df.sparkSession
     ref = F.lit(_as_ts(reference_time)).cast("timestamp_ntz")
+    # The shortest delay bounds every type: a literal filter that reaches the
+    # scan before the per-type check.
+    bound = _as_ts(reference_time) - dt.timedelta(hours=min(DATA_DELAYS_HOURS.values()))
+    df = df.where(F.col(ts) <= F.lit(bound).cast("timestamp_ntz"))
     j = df.join(F.broadcast(delay_dim(spark)).withColumnRenamed("data_type", type_col), type_col, "left")
     checked = F.when(F.col("delay_hours").isNull(),
                      F.raise_error(F.concat(F.lit("Unknown data type: "), F.col(type_col).cast("string"))))
