@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from paxcast.llm import op3_bpe, op4_toxicity, op6_warc, op8_packing, op10_quality
+from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op8_packing, op10_quality
 from paxcast.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_toxicity_compression(spark, sf_dir):
     return op4_toxicity.score(docs, op4_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html_main_text(spark, sf_dir):
+    return op5_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_warc_chain(spark, sf_dir):
     return op6_warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -29,5 +33,5 @@ def op10_quality_rules(spark, sf_dir):
     return op10_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op6_warc_chain, op8_packing_ffd, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op8_packing_ffd, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
