@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op8_packing, op10_quality
+from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op10_quality
 from paxcast.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_warc_chain(spark, sf_dir):
     return op6_warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash_hamming(spark, sf_dir):
+    return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing_ffd(spark, sf_dir):
     return op8_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,5 +37,5 @@ def op10_quality_rules(spark, sf_dir):
     return op10_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op8_packing_ffd, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
