@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op10_quality
+from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op9_suffix, op10_quality
 from paxcast.llm.common import table
 
 
@@ -33,9 +33,13 @@ def op8_packing_ffd(spark, sf_dir):
     return op8_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return op9_suffix.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return op10_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
