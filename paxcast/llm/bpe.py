@@ -3,7 +3,7 @@
 Pending merges wait in buckets, one per merge rank; a bucket holds positions of
 a doubly linked list of symbols. A two-level bitmap says which buckets hold
 something: find-first-set on the summary word, then on the word below, gives
-the lowest pending rank without a comparison heap over all pairs. Entries are
+the lowest pending rank (256 ranks to a word) without a heap over all pairs. Entries are
 never deleted when a neighbour changes; a popped entry whose symbols no longer
 form the rank's pair is stale and skipped. A piece of n bytes has at most 3n
 entries, so a piece of a hundred thousand bytes costs no more per byte than a
@@ -15,9 +15,6 @@ from __future__ import annotations
 import base64
 from heapq import heappop, heappush
 
-#: Ranks under one bit of the summary word.
-FAN = 256
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A tiktoken rank file: base64 token, space, rank on each line."""
@@ -25,70 +22,83 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: lowest rank first, leftmost first among equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    symbol = [piece[i:i + 1] for i in range(n)]
-    following = list(range(1, n + 1))
-    preceding = list(range(-1, n - 1))
-    get = ranks.get
-    buckets: dict[int, list[int]] = {}
-    words: dict[int, int] = {}
-    summary = 0
-    for i in range(n - 1):
-        rank = get(piece[i:i + 2])
-        if rank is not None:
-            if rank in buckets:
-                buckets[rank].append(i)  # ascending, so a heap already
-            else:
-                buckets[rank] = [i]
-                high = rank // FAN
-                words[high] = words.get(high, 0) | 1 << rank % FAN
-                summary |= 1 << high
-    while summary:
-        high = (summary & -summary).bit_length() - 1
-        word = words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high * FAN + low
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
-            words[high] = word = word & (word - 1)
-            if not word:
-                summary &= summary - 1
-        left = symbol[i]
-        if left is None:
-            continue
-        j = following[i]
-        if j >= n:
-            continue
-        pair = left + symbol[j]
-        if get(pair) != rank:
-            continue
-        symbol[i], symbol[j] = pair, None
-        following[i] = k = following[j]
-        if k < n:
-            preceding[k] = i
-        before = preceding[i]
-        fresh = []
-        if k < n:
-            rank = get(pair + symbol[k])
-            if rank is not None:
-                fresh.append((rank, i))
-        if before >= 0:
-            rank = get(symbol[before] + pair)
-            if rank is not None:
-                fresh.append((rank, before))
-        for rank, at in fresh:
+class Merger:
+    """The merges of a rank file by ids: a pair's rank is the id of the joined token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        get = ranks.get
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = get(token[:cut]), get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: lowest rank first, leftmost first among equals."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        single, get = self.single, self.pairs.get
+        symbol = [single[b] for b in piece]
+        n = len(symbol)
+        following = list(range(1, n + 1))
+        preceding = list(range(-1, n - 1))
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        summary = 0
+        left = symbol[0]
+        for i in range(1, n):
+            right = symbol[i]
+            rank = get(left << 32 | right)
+            left = right
+            if rank is None:
+                continue
             if rank in buckets:
-                heappush(buckets[rank], at)
+                buckets[rank].append(i - 1)  # ascending, so a heap already
             else:
-                buckets[rank] = [at]
-                high = rank // FAN
-                words[high] = words.get(high, 0) | 1 << rank % FAN
+                buckets[rank] = [i - 1]
+                high = rank >> 8
+                words[high] = words.get(high, 0) | 1 << (rank & 255)
                 summary |= 1 << high
-    return [ranks[s] for s in symbol if s is not None]
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = words[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+            if not bucket:
+                del buckets[rank]
+                words[high] = word = word & (word - 1)
+                if not word:
+                    summary &= summary - 1
+            left, j = symbol[i], following[i]
+            if left < 0 or j >= n or get(left << 32 | symbol[j]) != rank:
+                continue  # stale
+            symbol[i], symbol[j] = rank, -1
+            following[i] = k = following[j]
+            before = preceding[i]
+            if k < n:
+                preceding[k] = i
+                fresh = get(rank << 32 | symbol[k])
+                if fresh is not None:
+                    if fresh in buckets:
+                        heappush(buckets[fresh], i)
+                    else:
+                        buckets[fresh] = [i]
+                        high = fresh >> 8
+                        words[high] = words.get(high, 0) | 1 << (fresh & 255)
+                        summary |= 1 << high
+            if before >= 0:
+                fresh = get(symbol[before] << 32 | rank)
+                if fresh is not None:
+                    if fresh in buckets:
+                        heappush(buckets[fresh], before)
+                    else:
+                        buckets[fresh] = [before]
+                        high = fresh >> 8
+                        words[high] = words.get(high, 0) | 1 << (fresh & 255)
+                        summary |= 1 << high
+        return [s for s in symbol if s >= 0]

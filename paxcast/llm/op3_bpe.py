@@ -2,7 +2,7 @@
 
 Every task loads the rank file by its path (a parameter), cuts each text with
 the pre-token pattern and merges each new pre-token with the rank queue of
-``bpe.merge``. Nothing is shuffled.
+``bpe.Merger``. Nothing is shuffled.
 
 Defined cases: a null text is empty; an empty text has no ids; repeated rows are
 encoded one by one; an empty table gives an empty result; other columns are
@@ -23,7 +23,8 @@ from paxcast.llm import bpe, common, pretoken
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> pretoken.Encoder:
-    return pretoken.Encoder(pattern, lambda piece: array("I", bpe.merge(piece.encode(), ranks)).tobytes())
+    merge = bpe.Merger(ranks)
+    return pretoken.Encoder(pattern, lambda piece: array("I", merge(piece.encode())).tobytes())
 
 
 def decoder(ranks: dict[bytes, int]):
@@ -32,12 +33,21 @@ def decoder(ranks: dict[bytes, int]):
     return lambda ids: b"".join(map(tokens.__getitem__, ids))
 
 
+def coders(path: str, pattern: str):
+    """Encoder and decoder of a rank file, made once in a Python worker."""
+
+    def make():
+        ranks = bpe.load_ranks(path)
+        return encoder(ranks, pattern), decoder(ranks)
+
+    return pretoken.kept(("bpe", path, pattern), make)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``ids`` (array<int>) and ``decoded`` (binary) of every row."""
 
     def run(batches):
-        ranks = bpe.load_ranks(path)
-        to_ids, to_bytes = encoder(ranks, pattern), decoder(ranks)
+        to_ids, to_bytes = coders(path, pattern)
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
@@ -56,8 +66,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     that encodes, so the ids themselves never leave it."""
 
     def run(batches):
-        ranks = bpe.load_ranks(path)
-        to_ids, to_bytes = encoder(ranks, pattern), decoder(ranks)
+        to_ids, to_bytes = coders(path, pattern)
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)

@@ -8,12 +8,23 @@ holding longer white space, go through the pattern.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import regex
 
-#: Entries a task's caches may hold before they are emptied.
-CACHE_ENTRIES = 400_000
+#: Entries a worker's caches may hold before they are emptied.
+CACHE_ENTRIES = 600_000
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` gives, made once in a Python worker and found there by the
+    tasks that it runs later."""
+    store = sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 class _Cache(dict):
