@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids cut at every ``capacity``: place, length and checksum."""
 
     def run(batches):
-        encode = library_encoder(path)
+        encode = pretoken.kept(("tokenizers", path), lambda: library_encoder(path))
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             rows = []
