@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from paxcast.llm import op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op9_suffix, op10_quality
+from paxcast.llm import op1_lm, op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op9_suffix, op10_quality
 from paxcast.llm.common import table
 
 
+def op1_lm_elias_fano(spark, sf_dir):
+    return op1_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_roundtrip(spark, sf_dir):
     return op3_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,5 +45,5 @@ def op10_quality_rules(spark, sf_dir):
     return op10_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op9_suffix_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_elias_fano, op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
