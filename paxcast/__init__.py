@@ -7,4 +7,12 @@ runs only inside Arrow-batched grouped functions where a recursion or keyed
 state cannot be written as an expression.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside Python workers travel by value: executors need no
+# copy of the package, whatever folder the driver runs in.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -61,17 +61,22 @@ def edges_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EDGES), "src string, dst string, strength string, lag int")
 
 
-def simple_paths(edges: DataFrame, max_len: int = len(NODES)) -> DataFrame:
+def _node_count(edges: DataFrame) -> int:
+    """Number of nodes of a graph dimension (the bound of a simple path)."""
+    return edges.select("src").union(edges.select("dst")).distinct().count()
+
+
+def simple_paths(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """K1: every simple directed path as ``(src, dst, path array)``.
 
     Step k joins the paths of length k with the edges leaving their last
-    node, dropping extensions that revisit a node; ``max_len`` bounds the
-    number of steps (the node count suffices for any simple path).
+    node, dropping extensions that revisit a node; a simple path has at most
+    as many nodes as the graph (``max_len`` bounds it further).
     """
     e = edges.select("src", "dst")
-    frontier = e.select("src", "dst", F.array("src", "dst").alias("path"))
+    frontier = e.where("src <> dst").select("src", "dst", F.array("src", "dst").alias("path"))
     out = frontier
-    for _ in range(max_len - 2):
+    for _ in range((max_len or _node_count(edges)) - 2):
         nxt = (frontier.alias("p").join(e.alias("e"), F.col("p.dst") == F.col("e.src"))
                .where(~F.array_contains(F.col("p.path"), F.col("e.dst")))
                .select(F.col("p.src").alias("src"), F.col("e.dst").alias("dst"),
@@ -81,10 +86,20 @@ def simple_paths(edges: DataFrame, max_len: int = len(NODES)) -> DataFrame:
     return out
 
 
+def reachable(edges: DataFrame) -> DataFrame:
+    """Distinct ``(src, dst)`` pairs joined by a path between two nodes: the
+    reach doubles each step, so paths are never listed."""
+    reach = edges.select("src", "dst").distinct()
+    for _ in range(max(1, _node_count(edges) - 1).bit_length()):
+        further = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")) \
+            .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        reach = reach.unionByName(further).distinct()
+    return reach.where("src <> dst")
+
+
 def descendants(edges: DataFrame) -> DataFrame:
     """K2: number of distinct descendants of every node with out-edges."""
-    p = simple_paths(edges)
-    return p.select("src", "dst").distinct().groupBy("src").agg(F.count("dst").alias("n_effects"))
+    return reachable(edges).groupBy("src").agg(F.count("dst").alias("n_effects"))
 
 
 def backdoor_paths(edges: DataFrame, cause: str, effect: str) -> DataFrame:
@@ -123,20 +138,21 @@ def ols_effect(data: DataFrame, cause: str, effect: str, control: str | None = N
     interval, R^2 and n, as one row.
 
     By Frisch-Waugh-Lovell the cause's coefficient is the slope of the
-    within-level deviations, so the fit is three grouped aggregations, with
-    no per-row state and no design matrix.
+    within-level deviations, so the fit needs only the sufficient statistics
+    of each level (counts, means, second moments): one aggregation, no join.
     """
     d = data.select(F.col(cause).cast("double").alias("x"), F.col(effect).cast("double").alias("y"),
                     (F.col(control) if control else F.lit(0)).alias("g")).dropna()
-    means = d.groupBy("g").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    dm = d.join(means, "g")
-    s = dm.agg(
-        F.sum((F.col("x") - F.col("mx")) * (F.col("y") - F.col("my"))).alias("sxy"),
-        F.sum((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))).alias("sxx"),
-        F.sum((F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))).alias("syy"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("g").alias("levels"),
-        (F.var_pop("y") * F.count("y")).alias("sst"),
+    n = F.count(F.lit(1))
+    levels = d.groupBy("g").agg(
+        n.alias("n"), (F.covar_pop("x", "y") * n).alias("sxy"), (F.var_pop("x") * n).alias("sxx"),
+        (F.var_pop("y") * n).alias("syy"), F.avg("y").alias("my"))
+    total = F.sum("n")
+    s = levels.agg(
+        F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"), total.alias("n"),
+        F.count(F.lit(1)).alias("levels"),
+        (F.sum(F.col("syy") + F.col("n") * F.col("my") * F.col("my"))
+         - F.pow(F.sum(F.col("n") * F.col("my")), F.lit(2)) / total).alias("sst"),
     )
     s = s.withColumn("beta", F.col("sxy") / F.col("sxx"))
     s = s.withColumn("ssr", F.col("syy") - F.col("beta") * F.col("sxy"))

@@ -99,13 +99,17 @@ def next_week_forecast(daily: DataFrame, key: str = "series", date: str = "date"
     )
 
 
+def _complete(min_actual: float):
+    """A week with all its days and a total of at least ``min_actual`` (above 0)."""
+    return (F.col("n_days") == 7) & (F.col("total") > 0) & (F.col("total") >= min_actual)
+
+
 def accuracy_history(daily: DataFrame, key: str = "series", date: str = "date", value: str = "passengers",
-                     days: int = 30, min_actual: float = 10_000_000.0, first_idx: int = 53) -> DataFrame:
+                     days: int = 30, min_actual: float = 0.0, first_idx: int = 53) -> DataFrame:
     """Accuracy of the last ``max(days // 7, 4)`` complete weeks per key.
 
-    Weeks before index ``first_idx`` and weeks whose actual total is below
-    ``min_actual`` (treated as incomplete data) are skipped; an incomplete
-    final week is excluded.
+    Weeks before index ``first_idx`` and incomplete weeks (fewer than seven
+    days, nothing counted, or a total below ``min_actual``) are skipped.
     """
     n_weeks = max(days // 7, 4)
     weekly = resample.weekly_sums(daily, key, date, value)
@@ -115,7 +119,7 @@ def accuracy_history(daily: DataFrame, key: str = "series", date: str = "date",
     last_idx = F.max("week_idx").over(wl)
     f = f.withColumn("_last", last_idx)
     keep = (F.col("week_idx") >= F.greatest(F.lit(first_idx), F.col("_last") - n_weeks)) & \
-           (F.col("total") >= min_actual)
+           _complete(min_actual)
     acc = F.least(F.greatest(1.0 - F.abs(F.col("prediction") - F.col("total")) / F.col("total"), F.lit(0.0)),
                   F.lit(1.0))
     return f.where(keep).select(
@@ -126,12 +130,12 @@ def accuracy_history(daily: DataFrame, key: str = "series", date: str = "date",
 
 def historical_performance(daily: DataFrame, key: str = "series", date: str = "date",
                            value: str = "passengers", start_date: str | None = None,
-                           min_actual: float = 10_000_000.0) -> DataFrame:
-    """I4: every forecastable week from ``start_date`` except the final one, with errors."""
+                           min_actual: float = 0.0) -> DataFrame:
+    """I4: every forecastable complete week from ``start_date`` except the final one, with errors."""
     dense = resample.weekly_totals(daily, key, date, value)
     f = blend_forecast(dense, key, 0.0)
     f = f.withColumn("_last", F.max("week_idx").over(Window.partitionBy(key)))
-    keep = (F.col("week_idx") < F.col("_last")) & (F.col("total") >= min_actual)
+    keep = (F.col("week_idx") < F.col("_last")) & _complete(min_actual)
     if start_date is not None:
         keep = keep & (F.col("week_end") >= F.to_date(F.lit(start_date)))
     err = F.col("prediction") - F.col("total")

@@ -28,16 +28,19 @@ def trading_metrics(df: DataFrame, key: str = "account", date: str = "date", ret
                     position: str = "position", risk_free: float = 0.02) -> DataFrame:
     """Compounded total return, annual return, volatility, Sharpe (0 at
     zero volatility), max drawdown of the compounded curve, mean absolute
-    position and position changes (the first row counts as a change)."""
+    position and position changes (the first row counts as a change). A return
+    of -100% or worse ruins the account: its growth is 0 from there on."""
     w = Window.partitionBy(key).orderBy(date)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    growth = F.exp(F.sum(F.log1p(F.col(ret))).over(run))
+    alive = F.log1p(F.greatest(F.col(ret), F.lit(-0.999999999)))
+    ruined = F.col(ret) <= -1
+    growth = F.when(F.max(ruined).over(run), F.lit(0.0)).otherwise(F.exp(F.sum(alive).over(run)))
     x = df.withColumn("_g", growth)
     x = x.withColumn("_dd", F.col("_g") / F.max("_g").over(run) - 1.0)
     prev = F.lag(position).over(w)
     x = x.withColumn("_chg", F.when(prev.isNull() | (prev != F.col(position)), 1).otherwise(0))
     g = x.groupBy(key).agg(
-        (F.exp(F.sum(F.log1p(F.col(ret)))) - 1.0).alias("total_return"),
+        (F.when(F.max(ruined), F.lit(0.0)).otherwise(F.exp(F.sum(alive))) - 1.0).alias("total_return"),
         F.count(ret).alias("_n"),
         F.stddev_samp(ret).alias("_sd"),
         F.min("_dd").alias("max_drawdown"),

@@ -66,18 +66,20 @@ def _hw_fit(y: np.ndarray, m: int, horizon: int):
 def exp_smoothing_forecast(daily: DataFrame, key: str = "series", date: str = "date", value: str = "passengers",
                            horizon: int = 7, conf_level: float = 0.95) -> DataFrame:
     """Per-series damped Holt-Winters forecast for ``horizon`` days with
-    uncertainty ``resid_std * sqrt(h)`` and a normal interval."""
+    uncertainty ``resid_std * sqrt(h)`` and a normal interval. A series too
+    short for two seasons is one row of null figures with an error text."""
     from statistics import NormalDist
 
     z = NormalDist().inv_cdf((1 + conf_level) / 2)
     schema = (f"{key} string, date date, h int, forecast double, uncertainty double, lower_bound double, "
-              "upper_bound double, alpha double, beta double, gamma double, phi double")
+              "upper_bound double, alpha double, beta double, gamma double, phi double, error string")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
         y = pdf[value].astype(float).to_numpy()
         if len(y) < 2 * SEASON + 1:
-            return pd.DataFrame(columns=schema_cols)
+            short = dict.fromkeys(schema_cols) | {key: pdf[key].iloc[0], "error": "Insufficient historical data"}
+            return pd.DataFrame([short], columns=schema_cols).astype({"h": "Int32"})
         params, fcs, sd = _hw_fit(y, SEASON, horizon)
         last = pd.Timestamp(pdf[date].iloc[-1])
         hs = np.arange(1, horizon + 1)
@@ -85,7 +87,7 @@ def exp_smoothing_forecast(daily: DataFrame, key: str = "series", date: str = "d
         return pd.DataFrame({
             key: pdf[key].iloc[0], "date": [(last + pd.Timedelta(days=int(h))).date() for h in hs], "h": hs,
             "forecast": fcs, "uncertainty": unc, "lower_bound": fcs - z * unc, "upper_bound": fcs + z * unc,
-            "alpha": params[0], "beta": params[1], "gamma": params[2], "phi": params[3],
+            "alpha": params[0], "beta": params[1], "gamma": params[2], "phi": params[3], "error": None,
         })
 
     schema_cols = [c.split()[0] for c in schema.split(", ")]
@@ -114,11 +116,13 @@ def holdout_split(df: DataFrame, key: str = "series", date: str = "date", days:
 
 def ensemble_predict(preds: DataFrame, weights: DataFrame, keys=("series", "date"), model: str = "model",
                      pred: str = "pred") -> DataFrame:
-    """Weighted sum of model predictions; uncertainty is the population
-    std across models (unweighted), confidence ``1 / (1 + uncertainty)``.
-    The weights table has one row per model, a bounded broadcast."""
-    j = preds.join(F.broadcast(weights), model)
-    g = j.groupBy(*keys).agg(F.sum(F.col("weight") * F.col(pred)).alias("prediction"),
+    """Weighted mean of the model predictions present at the key (the
+    weights of missing models are shared out); uncertainty is the population
+    std across models (unweighted), confidence ``1 / (1 + uncertainty)``."""
+    j = preds.join(weights, model)
+    present = F.sum(F.when(F.col(pred).isNotNull(), F.col("weight")))
+    mean = F.try_divide(F.sum(F.col("weight") * F.col(pred)), present)
+    g = j.groupBy(*keys).agg(mean.alias("prediction"),
                              F.stddev_pop(pred).alias("uncertainty"), F.count(pred).alias("models"))
     return g.withColumn("confidence", 1.0 / (1.0 + F.col("uncertainty")))
 

@@ -81,7 +81,10 @@ def latest_available_for(df: DataFrame, reference_time, type_col: str = "data_ty
     ref = F.lit(_as_ts(reference_time)).cast("timestamp_ntz")
     d = F.broadcast(delay_dim(df.sparkSession).withColumnRenamed("data_type", type_col))
     bound = ref - F.make_dt_interval(hours=F.col("delay_hours"))
-    j = df.select(type_col, ts).join(d, type_col)
+    j = df.select(type_col, ts).join(d, type_col, "left")
+    # An unknown source type is an error, as in the row filter.
+    j = j.withColumn("delay_hours", F.when(F.col("delay_hours").isNotNull(), F.col("delay_hours")).otherwise(
+        F.raise_error(F.concat(F.lit("Unknown data type: "), F.coalesce(F.col(type_col).cast("string"), F.lit("null")))).cast("int")))
     return j.groupBy(type_col, "delay_hours").agg(
         F.max(F.when(F.col(ts) <= bound, F.col(ts))).alias("latest_row"),
         F.count(F.lit(1)).alias("rows_total"),

@@ -56,13 +56,14 @@ def position_size(signals: DataFrame, state: DataFrame, account: str = "account"
                   min_edge: float = MIN_PROB_EDGE, max_size: int = MAX_POSITION_SIZE,
                   position_limit: int = POSITION_LIMIT, leverage: float = MAX_LEVERAGE) -> DataFrame:
     """M1: 0 under the minimum edge; else ``min(int(raw), int(min(remaining
-    capacity, max size, capital * leverage / price)))`` signed by the edge."""
+    capacity, max size, capital * leverage / price)))``, at least 0, signed by
+    the edge: an account beyond its limit, or without capital, opens nothing."""
     x = signals.join(state, account, "left")
     edge = F.col(prob) - F.col(price)
     raw = F.abs(edge) / min_edge * max_size * F.col(confidence)
     remaining = F.lit(position_limit) - F.coalesce(F.col("exposure"), F.lit(0))
     cap = F.least(remaining.cast("double"), F.lit(float(max_size)), F.col("capital") * leverage / F.col(price))
-    size = F.least(raw.cast("bigint"), cap.cast("bigint"))
+    size = F.greatest(F.least(raw.cast("bigint"), cap.cast("bigint")), F.lit(0).cast("bigint"))
     signed = F.when(F.abs(edge) < min_edge, F.lit(0)).when(edge > 0, size).otherwise(-size)
     return x.withColumn("edge", edge).withColumn("position_size", signed.cast("bigint"))
 

@@ -91,10 +91,8 @@ def q_next_week(spark, sf_dir):
 
 # --- I3, I6, I8: accuracy history and what is computed from it -----------------
 
-# Parameters of the registered queries. The completeness floor of a full
-# week (10M in the original setting) is scaled to these tables.
+# Parameter of the registered queries.
 ACCURACY_DAYS = 365
-MIN_ACTUAL = 1_000_000.0
 
 COMPLETE_SQL = f"""dc AS (
   SELECT series, week_end, total, n_days FROM (
@@ -105,15 +103,14 @@ acc AS (
   SELECT series, week_end AS date, prediction AS predicted, total AS actual,
          LEAST(GREATEST(1.0 - abs(prediction - total) / total, 0.0), 1.0) AS accuracy
   FROM (SELECT *, MAX(week_idx) OVER (PARTITION BY series) AS last_idx FROM fc) z
-  WHERE week_idx >= GREATEST(53, last_idx - {max(ACCURACY_DAYS // 7, 4)}) AND total >= {MIN_ACTUAL})"""
+  WHERE week_idx >= GREATEST(53, last_idx - {max(ACCURACY_DAYS // 7, 4)}) AND n_days = 7 AND total > 0)"""
 
 
 @query("accuracy_history", "I3", round_sql(with_(X1, WEEKLY_SQL, COMPLETE_SQL) + "SELECT * FROM acc",
                                            ["predicted", "actual", "accuracy"]))
 def q_accuracy_history(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(forecast.accuracy_history(fixtures.daily_counts(t), days=ACCURACY_DAYS,
-                                                   min_actual=MIN_ACTUAL))
+    return round_doubles(forecast.accuracy_history(fixtures.daily_counts(t), days=ACCURACY_DAYS))
 
 
 RECENT_SQL = with_(X1, WEEKLY_SQL, COMPLETE_SQL) + """
@@ -130,7 +127,7 @@ FROM (SELECT DISTINCT series FROM x1) k LEFT JOIN (
 def q_recent_performance(spark, sf_dir):
     t = Tables(spark, sf_dir)
     daily = fixtures.daily_counts(t)
-    hist = forecast.accuracy_history(daily, days=ACCURACY_DAYS, min_actual=MIN_ACTUAL)
+    hist = forecast.accuracy_history(daily, days=ACCURACY_DAYS)
     return round_doubles(forecast.recent_performance(hist, daily))
 
 
@@ -143,7 +140,7 @@ FROM acc WINDOW r AS (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING
 @query("rolling_accuracy", "I8", round_sql(ROLLING_SQL, ["accuracy", "rolling_accuracy", "target"]))
 def q_rolling_accuracy(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    hist = forecast.accuracy_history(fixtures.daily_counts(t), days=ACCURACY_DAYS, min_actual=MIN_ACTUAL)
+    hist = forecast.accuracy_history(fixtures.daily_counts(t), days=ACCURACY_DAYS)
     return round_doubles(forecast.rolling_accuracy(hist))
 
 
@@ -155,7 +152,7 @@ PERF_SQL = f"""perf AS (
          LEAST(GREATEST(1.0 - abs(prediction - total) / total, 0.0), 1.0) AS accuracy,
          prediction - total AS error, (prediction - total) / total * 100.0 AS error_pct
   FROM (SELECT *, MAX(week_idx) OVER (PARTITION BY series) AS last_idx FROM f) z
-  WHERE week_idx >= 52 AND week_idx < last_idx AND total >= {MIN_ACTUAL} AND week_end >= DATE '{HIST_START}')"""
+  WHERE week_idx >= 52 AND week_idx < last_idx AND n_days = 7 AND total > 0 AND week_end >= DATE '{HIST_START}')"""
 PERF_BASE = with_(X1, WEEKLY_SQL, f"f AS ({blend_sql('dense', 0.0)})", PERF_SQL)
 
 
@@ -163,8 +160,7 @@ PERF_BASE = with_(X1, WEEKLY_SQL, f"f AS ({blend_sql('dense', 0.0)})", PERF_SQL)
                                                  ["predicted", "actual", "accuracy", "error", "error_pct"]))
 def q_historical_performance(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(forecast.historical_performance(fixtures.daily_counts(t), start_date=HIST_START,
-                                                         min_actual=MIN_ACTUAL))
+    return round_doubles(forecast.historical_performance(fixtures.daily_counts(t), start_date=HIST_START))
 
 
 SUMMARY_SQL = PERF_BASE + """
@@ -177,7 +173,7 @@ FROM perf GROUP BY 1"""
                                                             "mape_pct"]))
 def q_performance_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    perf = forecast.historical_performance(fixtures.daily_counts(t), start_date=HIST_START, min_actual=MIN_ACTUAL)
+    perf = forecast.historical_performance(fixtures.daily_counts(t), start_date=HIST_START)
     return round_doubles(forecast.performance_summary(perf))
 
 

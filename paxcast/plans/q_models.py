@@ -56,7 +56,7 @@ def q_holdout(spark, sf_dir):
 
 
 ENSEMBLE_SQL = with_(X8) + """
-SELECT series, date, SUM(pred / 3.0) AS prediction, STDDEV_POP(pred) AS uncertainty, COUNT(pred) AS models,
+SELECT series, date, AVG(pred) AS prediction, STDDEV_POP(pred) AS uncertainty, COUNT(pred) AS models,
        1.0 / (1.0 + STDDEV_POP(pred)) AS confidence
 FROM x8 GROUP BY 1, 2"""
 

@@ -57,11 +57,11 @@ cond AS (SELECT contract, STDDEV_POP(price) AS volatility, COUNT(*) / 400.0 AS l
                 AVG(CAST(pnl < 0 AS DOUBLE)) AS market_stress FROM x6 GROUP BY 1),
 s1 AS (
   SELECT s.*, st.exposure, st.capital, st.last_pnl, s.predicted_prob - s.market_price AS edge,
-         LEAST(CAST(trunc(abs(s.predicted_prob - s.market_price) / {risk.MIN_PROB_EDGE} * {risk.MAX_POSITION_SIZE}
+         GREATEST(0, LEAST(CAST(trunc(abs(s.predicted_prob - s.market_price) / {risk.MIN_PROB_EDGE} * {risk.MAX_POSITION_SIZE}
                           * s.model_confidence) AS BIGINT),
                CAST(trunc(LEAST(CAST({risk.POSITION_LIMIT} - COALESCE(st.exposure, 0) AS DOUBLE),
                                 {float(risk.MAX_POSITION_SIZE)}, st.capital * {risk.MAX_LEVERAGE} / s.market_price))
-                    AS BIGINT)) AS sz
+                    AS BIGINT))) AS sz
   FROM sig s LEFT JOIN state st ON s.account = st.account),
 s2 AS (
   SELECT *, CAST(CASE WHEN abs(edge) < {risk.MIN_PROB_EDGE} THEN 0 WHEN edge > 0 THEN sz ELSE -sz END AS BIGINT)

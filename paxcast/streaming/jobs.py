@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pandas as pd
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+#: Column in which a micro-batch carries when its file was last written.
+ARRIVAL = "_arrival"
+
 # Order limits.
 MAX_CONTRACTS_PER_TRADE = 1000
 TRADE_COOLDOWN_SECONDS = 5
@@ -29,38 +33,50 @@ TRADE_COOLDOWN_SECONDS = 5
 # --- T1 ---------------------------------------------------------------------------
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Newest ``v=<n>`` folder under ``root`` (None when there is none)."""
+    """Newest committed ``v=<n>_<batch>`` folder under ``root`` (None when there is none)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return None
-    vs = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v=")]
-    if not vs:
-        return None
-    return os.path.join(root, max(vs, key=lambda v: int(v[2:])))
+    done = jvm.org.apache.hadoop.fs.Path
+    vs = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v=")
+          and fs.exists(done(s.getPath(), "_SUCCESS"))]
+    return os.path.join(root, max(vs, key=_number)) if vs else None
+
 
+def _number(version: str) -> int:
+    return int(os.path.basename(version)[2:].split("_", 1)[0])
 
-def upsert_batch(batch: DataFrame, batch_id: int, target: str, keys=("series", "date")) -> None:
+
+def upsert_batch(batch: DataFrame, batch_id: int, target: str, keys=("series", "date"), run: str = "run") -> None:
     """T1 step: merge one micro-batch into the stored table, last value wins.
 
     The stored version and the batch are unioned with a sequence (stored
-    rows first, then the batch in arrival order), reduced to the newest row
-    per key with ``max_by`` (partial aggregation), and written as the next
-    version folder.
+    rows first, then the batch in the order of its ``arrival`` column: the
+    time its file was last written), reduced to the newest row per key with
+    ``max_by`` (partial aggregation), and written as the next version folder.
+    A version counts once its writer has committed it (``_SUCCESS``); a replayed
+    batch is skipped if its version is there, and versions are numbered after
+    the newest one, so a new checkpoint on an existing target loses nothing.
     """
     spark = batch.sparkSession
     cur = latest_version(spark, target)
-    cols = batch.columns
-    new = batch.withColumn("_seq", F.lit(batch_id + 1).cast("bigint") * F.lit(1 << 32)
-                           + F.monotonically_increasing_id() % F.lit(1 << 32))
+    tag = f"{run}-{batch_id}"
+    if cur is not None and os.path.basename(cur).split("_", 1)[1] == tag:
+        return  # replayed after its version was committed
+    cols = [c for c in batch.columns if c != ARRIVAL]
+    # Rows of one file stand in the order of its rows; files by their time.
+    new = batch.withColumn("_seq", F.struct(F.col(ARRIVAL).cast("timestamp"), F.monotonically_increasing_id()))
     if cur is not None:
-        old = spark.read.parquet(cur).select(*cols).withColumn("_seq", F.lit(0).cast("bigint"))
-        new = old.unionByName(new)
+        never = F.struct(F.lit(None).cast("timestamp"), F.lit(None).cast("bigint"))
+        old = spark.read.parquet(cur).select(*cols).withColumn("_seq", never)
+        new = old.unionByName(new.select(*cols, "_seq"))
+    version = 0 if cur is None else _number(cur) + 1
     others = [c for c in cols if c not in keys]
     merged = new.groupBy(*keys).agg(F.max_by(F.struct(*others), "_seq").alias("_v")) \
         .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
-    merged.write.mode("overwrite").parquet(os.path.join(target, f"v={batch_id}"))
+    merged.write.mode("overwrite").parquet(os.path.join(target, f"v={version}_{tag}"))
 
 
 def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, target: str,
@@ -68,7 +84,9 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
     """Ingest every file that lands in ``source_dir`` into ``target``
     (``availableNow``: process what is there, then stop)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    return (stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(df, bid, target, keys))
+    stream = stream.select("*", F.col("_metadata.file_modification_time").alias(ARRIVAL))
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]  # batches are numbered per checkpoint
+    return (stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(df, bid, target, keys, run))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -107,27 +125,35 @@ def static_check(size: str = "size", price: str = "price", side: str = "side") -
 
 def order_cooldown_stream(orders: DataFrame, cooldown_seconds: float = TRADE_COOLDOWN_SECONDS) -> DataFrame:
     """Accept an order only if ``cooldown_seconds`` passed since the
-    account's last *accepted* order; the state is that one timestamp."""
+    account's last *accepted* order; the state is that one timestamp.
+
+    All of an account's orders of a micro-batch are ordered by time first,
+    however many Arrow batches they arrive in. An order older than the last
+    accepted one arrived late: it is rejected, as accepting it would depend on
+    the order of arrival."""
     ok, msg = static_check()
     x = orders.select("account", "event_id", "ts", ok.alias("static_ok"), msg.alias("static_msg"))
 
     def step(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        out = []
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if not r.static_ok:
-                    out.append((key[0], r.event_id, r.ts, False, r.static_msg))
-                    continue
-                ts = pd.Timestamp(r.ts)
-                if last is not None and (ts - pd.Timestamp(last)).total_seconds() < cooldown_seconds:
-                    out.append((key[0], r.event_id, r.ts, False, "cooldown"))
-                else:
-                    last = ts
-                    out.append((key[0], r.event_id, r.ts, True, "Order validated"))
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
+        valid = rows.index[rows["static_ok"]]
+        times = pd.to_datetime(rows["ts"]).loc[valid]
+        wait = pd.Timedelta(seconds=cooldown_seconds)
+        accepted = []
+        # One step per accepted order: the next is the first past the wait.
+        at = 0 if last is None else times.searchsorted(last + wait, side="left")
+        while at < len(valid):
+            accepted.append(valid[at])
+            last = times.iloc[at]
+            at = max(at + 1, times.searchsorted(last + wait, side="left"))
         if last is not None:
-            state.update((pd.Timestamp(last).to_pydatetime(),))
-        yield pd.DataFrame(out, columns=[f.name for f in ORDER_OUT.fields])
+            state.update((last.to_pydatetime(),))
+        took = rows.index.isin(accepted)
+        yield pd.DataFrame({
+            "account": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": took,
+            "message": rows["static_msg"].where(~rows["static_ok"], pd.Series(took).map({True: "Order validated", False: "cooldown"})),
+        })[[f.name for f in ORDER_OUT.fields]]
 
     return x.groupBy("account").applyInPandasWithState(
         step, ORDER_OUT, "last_accepted timestamp", "append", GroupStateTimeout.NoTimeout)
