@@ -111,6 +111,12 @@ def accuracy_history(daily: DataFrame, key: str = "series", date: str = "date",
     Weeks before index ``first_idx`` and incomplete weeks (fewer than seven
     days, nothing counted, or a total below ``min_actual``) are skipped.
     """
+    f = _accuracy_weeks(daily, key, date, value, days, min_actual, first_idx).where("_keep")
+    return f.select(key, "date", "predicted", "actual", "accuracy")
+
+
+def _accuracy_weeks(daily, key, date, value, days, min_actual, first_idx) -> DataFrame:
+    """Every week of every key with its accuracy and whether it counts (``_keep``)."""
     n_weeks = max(days // 7, 4)
     weekly = resample.weekly_sums(daily, key, date, value)
     dense = resample.densify_weeks(weekly, key, drop_incomplete_last=True)
@@ -122,9 +128,9 @@ def accuracy_history(daily: DataFrame, key: str = "series", date: str = "date",
            _complete(min_actual)
     acc = F.least(F.greatest(1.0 - F.abs(F.col("prediction") - F.col("total")) / F.col("total"), F.lit(0.0)),
                   F.lit(1.0))
-    return f.where(keep).select(
+    return f.select(
         key, F.col("week_end").alias("date"), F.col("prediction").alias("predicted"),
-        F.col("total").alias("actual"), acc.alias("accuracy"),
+        F.col("total").alias("actual"), acc.alias("accuracy"), F.coalesce(keep, F.lit(False)).alias("_keep"),
     )
 
 
@@ -159,17 +165,18 @@ def performance_summary(perf: DataFrame, key: str = "series") -> DataFrame:
     )
 
 
-def recent_performance(history: DataFrame, keys: DataFrame, key: str = "series") -> DataFrame:
-    """mean/std accuracy, RMSE, MAE over an accuracy history; zeros for keys without rows."""
-    err = F.col("predicted") - F.col("actual")
-    agg = history.groupBy(key).agg(
-        F.avg("accuracy").alias("mean_accuracy"),
-        F.when(F.count(F.lit(1)) > 1, F.stddev_samp("accuracy")).otherwise(F.lit(0.0)).alias("accuracy_std"),
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.avg(F.abs(err)).alias("mae"),
+def recent_performance(daily: DataFrame, key: str = "series", date: str = "date", value: str = "passengers",
+                       days: int = 30, min_actual: float = 0.0, first_idx: int = 53) -> DataFrame:
+    """mean/std accuracy, RMSE, MAE over the accuracy history; zeros for keys
+    without a week that counts. Keys come with the weeks, from one scan."""
+    weeks = _accuracy_weeks(daily, key, date, value, days, min_actual, first_idx)
+    keep = F.col("_keep")
+    accuracy, err = F.when(keep, F.col("accuracy")), F.when(keep, F.col("predicted") - F.col("actual"))
+    agg = weeks.groupBy(key).agg(
+        F.avg(accuracy).alias("mean_accuracy"), F.stddev_samp(accuracy).alias("accuracy_std"),
+        F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
     )
-    out = keys.select(key).distinct().join(agg, key, "left")
-    return out.select(key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return agg.select(key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
                              for c in ("mean_accuracy", "accuracy_std", "rmse", "mae")])
 
 
@@ -196,7 +203,3 @@ def confidence_band(pred: DataFrame, predicted: str = "predicted", confidence: s
     """Band ``pred +/- pred * (1 - confidence) * 0.1``."""
     half = F.col(predicted) * (1.0 - F.col(confidence)) * 0.1
     return pred.withColumn("band_lower", F.col(predicted) - half).withColumn("band_upper", F.col(predicted) + half)
-
-
-def safe_ratio(num, den):  # re-export for callers composing forecast columns
-    return safe_div(num, den)

@@ -223,31 +223,25 @@ def normal_quantile(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn(f"{p}_quantile", probit(p))
 
 
-def save_model(model, spark, name: str) -> str:
-    """Write a fitted pipeline under ``<checkpoint dir>/models/<name>/<ts>``."""
+def save_model(model, root: str, name: str) -> str:
+    """Write a fitted pipeline under ``<root>/<name>/<ts>``; ``root`` is a
+    folder that every later reader reaches."""
     import datetime as dt
 
-    from paxcast.session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "models", name, dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f"))
+    path = os.path.join(root, name, dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f"))
     model.write().overwrite().save(path)
     return path
 
 
-def load_latest_model(spark, name: str):
+def load_latest_model(spark, root: str, name: str):
     """Load the newest saved version of ``name`` (error when none)."""
     from pyspark.ml import PipelineModel
 
-    from paxcast.session import ensure_checkpoint_dir
-
-    base = os.path.join(ensure_checkpoint_dir(spark), "models", name)
+    base = os.path.join(root, name)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(base)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        raise FileNotFoundError(f"No saved versions of {name}")
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory())
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory()) if fs.exists(hpath) else []
     if not versions:
         raise FileNotFoundError(f"No saved versions of {name}")
     return PipelineModel.load(os.path.join(base, versions[-1]))

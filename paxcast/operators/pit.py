@@ -113,7 +113,7 @@ def validate_timeline(df: DataFrame, feature_timestamps: dict[str, str], referen
 
 
 def asof_join(cutoffs: DataFrame, facts: DataFrame, key: str, cutoff: str, fact_time: str,
-              value_cols: list[str], strict: bool = False, bucket: str = "month") -> DataFrame:
+              value_cols: list[str], strict: bool = False, bucket: str = "hour") -> DataFrame:
     """For each ``(key, cutoff)`` the latest fact with ``fact_time <= cutoff``
     (``<`` when ``strict``), its values and its time as ``asof_time``.
 

@@ -72,10 +72,21 @@ def _book_order(market: str):
 
 
 def book_depth(book: DataFrame, market: str = "market") -> DataFrame:
-    """Cumulative size per side in book order; cents to dollars."""
-    w = _book_order(market)
-    return book.select(market, "side", "event_id", (F.col("price_cents") / 100.0).alias("price"), "size",
-                       F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_size"))
+    """Cumulative size per side in book order; cents to dollars.
+
+    Sizes are summed per price level first; only the levels of a side (at most
+    one per cent) are ordered together, and orders within their own level."""
+    level = [market, "side", "price_cents"]
+    best = F.when(F.col("side") == "bid", -F.col("price_cents")).otherwise(F.col("price_cents"))
+    levels = book.groupBy(*level).agg(F.sum("size").alias("_level"))
+    upto = F.sum("_level").over(Window.partitionBy(market, "side").orderBy(best)
+                                .rowsBetween(Window.unboundedPreceding, 0))
+    before = levels.select(*level, (upto - F.col("_level")).alias("_before"))
+    inside = F.sum("size").over(Window.partitionBy(*level).orderBy("event_id")
+                                .rowsBetween(Window.unboundedPreceding, 0))
+    return book.join(before, level).select(
+        market, "side", "event_id", (F.col("price_cents") / 100.0).alias("price"), "size",
+        (F.col("_before") + inside).alias("cumulative_size"))
 
 
 def top_of_book(book: DataFrame, market: str = "market", levels: int = 5) -> DataFrame:

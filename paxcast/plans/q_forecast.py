@@ -126,9 +126,7 @@ FROM (SELECT DISTINCT series FROM x1) k LEFT JOIN (
 @query("recent_performance", "I6", round_sql(RECENT_SQL, ["mean_accuracy", "accuracy_std", "rmse", "mae"]))
 def q_recent_performance(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    daily = fixtures.daily_counts(t)
-    hist = forecast.accuracy_history(daily, days=ACCURACY_DAYS)
-    return round_doubles(forecast.recent_performance(hist, daily))
+    return round_doubles(forecast.recent_performance(fixtures.daily_counts(t), days=ACCURACY_DAYS))
 
 
 ROLLING_SQL = with_(X1, WEEKLY_SQL, COMPLETE_SQL) + """

@@ -1,11 +1,11 @@
-"""Session and lineage helpers."""
+"""Session helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings for a local test or benchmark session. On a cluster the
 # deployment supplies its own; nothing here is required by the operators.
@@ -25,32 +25,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     for k, v in LOCAL_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # One machine: its scratch folder is shared by all of the session's threads.
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paxcast-ckpt-"))
     builder = builder.config("spark.driver.memory", os.environ.get("PAXCAST_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names a shared folder there; it is only filled in here when the
-    session has none (local tests), using a fresh scratch folder.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; an error without one:
+    a folder of the driver's own machine is no place for a cluster's files."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="paxcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        raise ValueError("spark.checkpoint.dir names no folder; set it to one that driver and executors share")
     return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Used where a plan is re-read by several downstream jobs and a lost
-    executor must not force recomputation from the raw scan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

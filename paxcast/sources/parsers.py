@@ -33,6 +33,16 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS])
 
 
+def cell_text(cell: Column) -> Column:
+    """Text of a table cell: inner tags go, the character references that occur
+    in counts and dates are decoded, white space (no-break included) is trimmed."""
+    t = F.regexp_replace(cell, r"(?s)<!--.*?-->|<[^>]*>", "")
+    t = F.regexp_replace(t, r"(?i)&nbsp;?|&#160;?|&#xa0;?", " ")
+    for ref, char in (("&#44;", ","), ("&comma;", ","), ("&#47;", "/"), ("&sol;", "/"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(ref), F.lit(char))
+    return F.regexp_replace(t, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
 def parse_count_pages(pages: DataFrame, keep=("series",), html: str = "html") -> DataFrame:
     """Rows of the first ``<table>`` of each page as ``(date, passengers)``.
 
@@ -43,17 +53,23 @@ def parse_count_pages(pages: DataFrame, keep=("series",), html: str = "html") ->
     x = pages.select(*keep, F.explode(F.regexp_extract_all(table, F.lit(ROW_RE), F.lit(1))).alias("_row"))
     x = x.select(*keep, F.regexp_extract_all(F.col("_row"), F.lit(CELL_RE), F.lit(1)).alias("_cells"))
     x = x.where(F.size("_cells") >= 2)
-    x = x.select(*keep, parse_date(F.col("_cells")[0]).alias("date"),
-                 parse_number(F.col("_cells")[1]).alias("passengers"))
+    x = x.select(*keep, parse_date(cell_text(F.col("_cells")[0])).alias("date"),
+                 parse_number(cell_text(F.col("_cells")[1])).alias("passengers"))
     return x.where(F.col("date").isNotNull())
 
 
 def render_count_pages(daily: DataFrame, key: str = "series") -> DataFrame:
     """One HTML page per (key, year) with a comma-grouped count table (the
-    form the count pages are published in). A page holds at most one year of
-    days, so each group is bounded by the calendar."""
-    row = F.concat(F.lit("<tr><td>"), F.date_format("date", "M/d/yyyy"), F.lit("</td><td>"),
-                   F.format_number(F.col("passengers"), 0), F.lit("</td></tr>"))
+    form the count pages are published in, with markup and references inside
+    some cells). A page holds at most one year of days, so each group is
+    bounded by the calendar."""
+    number = F.format_number(F.col("passengers"), 0)
+    kind = F.dayofmonth("date") % 4
+    date = F.concat(F.date_format("date", "M/d/yyyy"), F.when(kind == 1, "&nbsp;").otherwise(""))
+    count = F.when(kind == 0, number).when(kind == 1, F.concat(F.lit("<b>"), number, F.lit("</b>"))) \
+        .when(kind == 2, F.concat(F.lit("\n  <span class=\"n\">"), number, F.lit("</span>&#160;"))) \
+        .otherwise(F.replace(number, F.lit(","), F.lit("&#44;")))
+    row = F.concat(F.lit("<tr><td>"), date, F.lit("</td><td align=right>"), count, F.lit("</td></tr>"))
     g = daily.groupBy(F.col(key), F.year("date").alias("year")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("date"), row.alias("r")))).alias("_rows"))
     body = F.array_join(F.transform("_rows", lambda s: s["r"]), "")

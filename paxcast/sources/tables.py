@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -30,7 +28,3 @@ class Tables:
         if name in TABLES:
             return self.table(name)
         raise AttributeError(name)
-
-    @cached_property
-    def names(self) -> list[str]:
-        return list(TABLES)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from paxcast.operators import causal, forecast, metrics, models, pit, risk
-from paxcast.sources import fixtures
+from paxcast.sources import fixtures, parsers, snapshots
 from paxcast.sources.tables import Tables
 from paxcast.streaming import jobs
 
@@ -126,3 +126,55 @@ def test_ingest_orders_by_file_time_and_survives_replay(spark):
     tag = os.path.basename(before).split("_", 1)[1].rsplit("-", 1)
     jobs.upsert_batch(batch, int(tag[1]), d + "/tgt", run=tag[0])
     assert jobs.latest_version(spark, d + "/tgt") == before and _stored(spark, d + "/tgt")[("A", 1)] == 5.0
+
+
+def test_cells_with_markup_and_references(spark):
+    page = ("<table><tr><th>Date</th></tr><tr><td><i>1/3/2024&nbsp;</i></td><td><b>2,345,678</b></td></tr>"
+            "<tr><td>1/4/2024</td><td> <span>1&#44;000</span>&#160;</td></tr><tr><td>total</td><td>5</td></tr></table>")
+    df = spark.createDataFrame([("s", page)], "series string, html string")
+    got = [(r.date, r.passengers) for r in parsers.parse_count_pages(df).orderBy("date").collect()]
+    assert got == [(dt.date(2024, 1, 3), 2345678.0), (dt.date(2024, 1, 4), 1000.0)]
+
+
+def test_snapshots_latest_read_is_pruned(spark):
+    path = tempfile.mkdtemp(prefix="paxcast-snap-") + "/t"
+    for stamp, value in (("20240101_000000", 1), ("20240301_000000", 3), ("20240201_000000", 2)):
+        snapshots.write_snapshot(spark.createDataFrame([(value,)], "v int"), path, stamp)
+    latest = snapshots.read_latest(spark, path)
+    assert [r.v for r in latest.collect()] == [3]
+    assert all("20240301" in f for f in latest.inputFiles()) or "PartitionFilters: [isnotnull" in latest._jdf.queryExecution().toString()
+
+
+def test_models_are_saved_and_the_newest_is_loaded(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    root = tempfile.mkdtemp(prefix="paxcast-models-")
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    for cols in (["a"], ["a", "b"]):
+        models.save_model(Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="f")]).fit(df), root, "m")
+    assert models.load_latest_model(spark, root, "m").stages[0].getInputCols() == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        models.load_latest_model(spark, root, "none")
+
+
+def test_general_control_set_agrees_with_the_closed_form(spark):
+    rows = [(float(i % 17), 2.0 * (i % 17) + 5.0 * (i % 3) + 0.01 * (i % 5), "abc"[i % 3]) for i in range(300)]
+    data = spark.createDataFrame(rows, "x double, y double, g string")
+    one, other = causal.ols_effect(data, "x", "y", "g").first(), causal.ols_effect_ml(data, "x", "y", categorical=["g"]).first()
+    assert one.effect_estimate == pytest.approx(other.effect_estimate, rel=1e-6)
+    assert one.std_err == pytest.approx(other.std_err, rel=1e-4) and one.n_obs == other.n_obs
+
+
+def test_running_pnl_stream_flags_a_breach(spark):
+    d = tempfile.mkdtemp(prefix="paxcast-pnl-")
+    rows = [("a", dt.datetime(2024, 1, 1, 9), "yes", 10, -60.0), ("a", dt.datetime(2024, 1, 1, 15), "no", 5, -50.0), ("b", dt.datetime(2024, 1, 1, 9), "yes", 1, 5.0)]
+    trades = spark.createDataFrame(rows, "account string, ts timestamp, side string, size bigint, pnl double")
+    trades.coalesce(1).write.parquet(d + "/in")
+    limits = spark.createDataFrame([("a", 100.0), ("b", 100.0)], "account string, daily_loss_limit double")
+    stream = spark.readStream.schema(trades.schema).parquet(d + "/in")
+    q = (jobs.running_daily_pnl(stream, limits).writeStream.format("memory").queryName("pnl_out").outputMode("update")
+         .option("checkpointLocation", d + "/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.account: (r.daily_pnl, r.gross_exposure, r.limit_breached) for r in spark.sql("SELECT * FROM pnl_out").collect()}
+    assert got == {"a": (-110.0, 15, True), "b": (5.0, 1, False)}
