@@ -1,9 +1,11 @@
 """Time the headline queries and print one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8), ``BENCH_QUERIES`` (comma list, default the headline set).
+(default 8), ``BENCH_QUERIES`` (comma list, default the headline set),
+``BENCH_REPEATS`` (default 3), ``BENCH_SCALING`` (0 leaves the scaling out).
 Each query is run to completion with the ``noop`` sink (every row computed,
-nothing collected to the driver); the first run of the session warms the JVM.
+nothing collected to the driver): once untimed, then ``BENCH_REPEATS`` times;
+the median counts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -32,45 +35,67 @@ HEADLINE = [
     "feature_matrix",
     "daily_ledger_metrics",
     "portfolio_risk_report",
+    "order_validation",
+    "causal_effects",
+    "book_depth",
 ]
 
 
-def series_scaling(spark, sf_dir, factors=(1, 10, 100)) -> dict:
-    """Forecast (I1) and backtest summary (N6) with the series replicated
-    k times at the same history length (each daily row becomes k series)."""
+class Replicated(Tables):
+    """The input tables with every line item ``k`` times: the fact scan's output,
+    the partial aggregates and the shuffles all see the larger table."""
+
+    def __init__(self, spark, root, k: int):
+        super().__init__(spark, root)
+        self.k = k
+
+    def table(self, name):
+        df = super().table(name)
+        if name == "lineitem" and self.k > 1:
+            df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(self.k)))).drop("_copy")
+        return df
+
+
+def run(df) -> float:
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def timed(make, repeats: int) -> float:
+    run(make())
+    return round(statistics.median(run(make()) for _ in range(repeats)), 3)
+
+
+def fact_scaling(spark, sf_dir, repeats: int, factors=(1, 4, 16)) -> dict:
+    """Forecast (I1) and backtest summary (N6) with the fact table k times as large."""
     out = {}
-    daily = fixtures.daily_counts(Tables(spark, sf_dir))
     for k in factors:
-        rep = daily.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))) \
-            .withColumn("series", F.concat_ws("-", F.col("series"), F.col("_r").cast("string"))).drop("_r")
-        t0 = time.perf_counter()
-        forecast.weekly_forecast(rep).write.format("noop").mode("overwrite").save()
-        t1 = time.perf_counter()
-        weeks = backtest.weekly_backtest(rep, fixtures.quotes, start="1993-01-01", step=100_000.0)
-        backtest.summary(weeks, rep).write.format("noop").mode("overwrite").save()
-        t2 = time.perf_counter()
-        out[f"x{k}"] = {"weekly_forecast": round(t1 - t0, 3), "backtest_summary": round(t2 - t1, 3)}
+        def daily(k=k):
+            return fixtures.daily_counts(Replicated(spark, sf_dir, k))
+
+        def summary():
+            weeks = backtest.weekly_backtest(daily(), fixtures.quotes, start="1993-01-01", step=100_000.0)
+            return backtest.summary(weeks, daily())
+
+        out[f"x{k}"] = {"weekly_forecast": timed(lambda: forecast.weekly_forecast(daily()), repeats),
+                        "backtest_summary": timed(summary, repeats)}
     return out
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     registry.load_all()
     wanted = os.environ.get("BENCH_QUERIES")
     names = [n for n in (wanted.split(",") if wanted else HEADLINE) if n in registry.QUERIES]
     spark = local_session(cpus=cpus, shuffle_partitions=max(cpus, 8), app="paxcast-bench")
-    # Warm-up: JVM class loading and codegen caches, not timed.
-    registry.QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in names:
-        t0 = time.perf_counter()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+    times = {name: timed(lambda name=name: registry.QUERIES[name](spark, sf_dir), repeats) for name in names}
     scaling = None
     if os.environ.get("BENCH_SCALING", "1") != "0":
         try:
-            scaling = series_scaling(spark, sf_dir)
+            scaling = fact_scaling(spark, sf_dir, repeats)
         except Exception as e:  # noqa: BLE001 - the headline line must still print
             scaling = {"error": f"{type(e).__name__}: {str(e)[:200]}"}
     spark.stop()
@@ -81,7 +106,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else None,
-        "series_scaling": scaling,
+        "fact_scaling": scaling,
     }))
 
 

@@ -3,15 +3,18 @@
 The weekly backtest is a replay over recorded tables: forecasts for every
 week come from one window pass (I1), quotes come from a quote table, and the
 only state that crosses weeks is a running sum, so there is no loop. Every
-window is partitioned by the series or account key.
+window is partitioned by the series or account key. The daily ledger's average
+cost is the one recursion; it runs per account over its days.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paxcast.operators import forecast, resample, signals
 
@@ -181,7 +184,11 @@ def daily_ledger(targets: DataFrame, key: str = "account", date: str = "date", t
                  price: str = "price", capital: float = 10_000.0) -> DataFrame:
     """trade = target - current position (a missing target holds the
     position), cash = capital - sum(size * price + costs), equity = cash +
-    position * price; realised P&L of a trade is recorded for the win rate."""
+    position * price; ``realised_pnl`` of a trade that closes something (null
+    otherwise), at average cost, before costs.
+
+    The average cost is a recursion over an account's days, so it runs in a
+    grouped function; a group is bounded by the calendar."""
     w = Window.partitionBy(key).orderBy(date)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = targets.withColumn("_t", F.coalesce(F.last(target, ignorenulls=True).over(run), F.lit(0)))
@@ -189,8 +196,25 @@ def daily_ledger(targets: DataFrame, key: str = "account", date: str = "date", t
     x = x.withColumn("trade", F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0)).cast("bigint"))
     x = x.withColumn("costs", transaction_costs(F.col("trade"), F.col(price)))
     x = x.withColumn("cash", F.lit(float(capital)) - F.sum(F.col("trade") * F.col(price) + F.col("costs")).over(run))
-    x = x.withColumn("equity", F.col("cash") + F.col("position") * F.col(price))
-    return x.drop("_t")
+    x = x.withColumn("equity", F.col("cash") + F.col("position") * F.col(price)).drop("_t")
+    schema = T.StructType([*x.schema.fields, T.StructField("realised_pnl", T.DoubleType())])
+
+    def realised(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date, kind="stable")
+        held, cost, out = 0, 0.0, []
+        for size, at in zip(pdf["trade"].tolist(), pdf[price].tolist()):
+            gain = None
+            if size and held * size >= 0:
+                cost = (cost * abs(held) + at * abs(size)) / (abs(held) + abs(size))
+            elif size:
+                gain = min(abs(size), abs(held)) * (at - cost) * (1 if held > 0 else -1)
+                if abs(size) > abs(held):
+                    cost = at
+            held += size
+            out.append(gain)
+        return pdf.assign(realised_pnl=pd.array(out, dtype="Float64"))
+
+    return x.groupBy(key).applyInPandas(realised, schema)
 
 
 def ledger_metrics(ledger: DataFrame, key: str = "account", date: str = "date", capital: float = 10_000.0,
@@ -198,14 +222,13 @@ def ledger_metrics(ledger: DataFrame, key: str = "account", date: str = "date",
     """Total return, annual return ``(1 + total)^(252 / n_returns) - 1``,
     volatility (sample std of daily returns x sqrt 252), Sharpe
     ``(annual - rf) / volatility``, max drawdown (negative), win rate (share
-    of trades whose next-day equity change is positive), mean trade value
+    of closing trades with a positive realised P&L), mean trade value
     ``|size| * price + costs`` and the trade count."""
     w = Window.partitionBy(key).orderBy(date)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = ledger.withColumn("_ret", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0)
     x = x.withColumn("_peak", F.max("equity").over(run))
     x = x.withColumn("_dd", F.col("equity") / F.col("_peak") - 1.0)
-    x = x.withColumn("_pnl_next", F.lead("equity").over(w) - F.col("equity"))
     traded = F.col("trade") != 0
     g = x.groupBy(key).agg(
         F.max_by("equity", date).alias("final_equity"),
@@ -214,7 +237,7 @@ def ledger_metrics(ledger: DataFrame, key: str = "account", date: str = "date",
         F.min("_dd").alias("max_drawdown"),
         F.sum(traded.cast("int")).cast("bigint").alias("num_trades"),
         F.avg(F.when(traded, F.abs(F.col("trade")) * F.col("price") + F.col("costs"))).alias("avg_trade"),
-        F.avg(F.when(traded, (F.col("_pnl_next") > 0).cast("double"))).alias("win_rate"),
+        F.avg((F.col("realised_pnl") > 1e-9).cast("double")).alias("win_rate"),
     )
     total = F.col("final_equity") / capital - 1.0
     annual = F.pow(1.0 + total, F.try_divide(F.lit(float(TRADING_DAYS)), F.col("_n").cast("double"))) - 1.0

@@ -92,10 +92,24 @@ ledger AS (
   SELECT *, {LEDGER_CAPITAL} - SUM(trade * price + costs) OVER (PARTITION BY account ORDER BY date
                                                                  ROWS UNBOUNDED PRECEDING) AS cash
   FROM l2),
-led AS (SELECT account, date, target, price, position, trade, costs, cash, cash + position * price AS equity
-        FROM ledger)""")
-
-LEDGER_COLS = ["price", "costs", "cash", "equity"]
+numbered AS (SELECT account, date, trade, price, ROW_NUMBER() OVER (PARTITION BY account ORDER BY date) AS rn FROM l2),
+gains AS (SELECT * FROM (
+  WITH RECURSIVE g(account, date, rn, held, cost, gain) AS (
+    SELECT account, date, rn, trade, CASE WHEN trade <> 0 THEN price ELSE 0.0 END, CAST(NULL AS DOUBLE) FROM numbered WHERE rn = 1
+    UNION ALL
+    SELECT n.account, n.date, n.rn, g.held + n.trade,
+           CASE WHEN n.trade = 0 THEN g.cost
+                WHEN g.held * n.trade >= 0 THEN (g.cost * abs(g.held) + n.price * abs(n.trade)) / (abs(g.held) + abs(n.trade))
+                WHEN abs(n.trade) > abs(g.held) THEN n.price ELSE g.cost END,
+           CASE WHEN n.trade <> 0 AND g.held * n.trade < 0
+                THEN LEAST(abs(n.trade), abs(g.held)) * (n.price - g.cost) * sign(g.held) END
+    FROM g JOIN numbered n ON n.account = g.account AND n.rn = g.rn + 1)
+  SELECT account, date, gain FROM g) z),
+led AS (SELECT l.account, l.date, target, price, position, trade, costs, cash, cash + position * price AS equity,
+               gain AS realised_pnl
+        FROM ledger l JOIN gains g ON l.account = g.account AND l.date = g.date)""")
+
+LEDGER_COLS = ["price", "costs", "cash", "equity", "realised_pnl"]
 
 
 @query("daily_ledger", "N7 N8", round_sql(LEDGER_SQL + "SELECT * FROM led", LEDGER_COLS))
@@ -107,14 +121,13 @@ def q_daily_ledger(spark, sf_dir):
 LEDGER_METRICS_SQL = LEDGER_SQL + f""",
 m AS (
   SELECT *, equity / NULLIF(LAG(equity) OVER w, 0) - 1.0 AS ret,
-         equity / MAX(equity) OVER (w ROWS UNBOUNDED PRECEDING) - 1.0 AS dd,
-         LEAD(equity) OVER w - equity AS pnl_next
+         equity / MAX(equity) OVER (w ROWS UNBOUNDED PRECEDING) - 1.0 AS dd
   FROM led WINDOW w AS (PARTITION BY account ORDER BY date)),
 g AS (
   SELECT account, arg_max(equity, date) AS final_equity, COUNT(ret) AS n, STDDEV_SAMP(ret) AS sd,
          MIN(dd) AS max_drawdown, CAST(SUM(CAST(trade <> 0 AS INTEGER)) AS BIGINT) AS num_trades,
          AVG(CASE WHEN trade <> 0 THEN abs(trade) * price + costs END) AS avg_trade,
-         AVG(CASE WHEN trade <> 0 THEN CAST(pnl_next > 0 AS DOUBLE) END) AS win_rate
+         AVG(CAST(realised_pnl > 1e-9 AS DOUBLE)) AS win_rate
   FROM m GROUP BY 1),
 h AS (SELECT *, final_equity / {LEDGER_CAPITAL} - 1.0 AS total_return FROM g),
 i AS (SELECT *, pow(1.0 + total_return, {float(backtest.TRADING_DAYS)} / CAST(n AS DOUBLE)) - 1.0 AS annual_return,

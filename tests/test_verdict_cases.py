@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from paxcast.operators import causal, forecast, metrics, models, pit, risk
+from paxcast.operators import backtest, causal, forecast, metrics, models, pit, risk
 from paxcast.sources import fixtures, parsers, snapshots
 from paxcast.sources.tables import Tables
 from paxcast.streaming import jobs
@@ -178,3 +178,15 @@ def test_running_pnl_stream_flags_a_breach(spark):
     q.awaitTermination()
     got = {r.account: (r.daily_pnl, r.gross_exposure, r.limit_breached) for r in spark.sql("SELECT * FROM pnl_out").collect()}
     assert got == {"a": (-110.0, 15, True), "b": (5.0, 1, False)}
+
+
+def test_win_rate_counts_positive_realised_pnl(spark):
+    days = [dt.date(2024, 1, d) for d in range(1, 7)]
+    rows = [("a", d, t, p) for d, t, p in zip(days, (10, 10, 4, 4, -3, 0), (0.5, 0.6, 0.7, 0.2, 0.4, 0.5))]
+    led = backtest.daily_ledger(spark.createDataFrame(rows, "account string, date date, target bigint, price double"))
+    got = [r.realised_pnl for r in led.orderBy("date").collect()]
+    # buy 10 at 0.5; hold; sell 6 at 0.7; hold; sell 7 at 0.4 (closes 4, opens -3); buy 3 at 0.5
+    want = [None, None, 6 * 0.2, None, 4 * -0.1, 3 * -0.1]
+    assert [w is None for w in want] == [g is None for g in got]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
+    assert backtest.ledger_metrics(led).first().win_rate == pytest.approx(1 / 3)
