@@ -16,12 +16,15 @@ from __future__ import annotations
 import hashlib
 import os
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from paxcast.operators import risk
+
 #: Column in which a micro-batch carries when its file was last written.
 ARRIVAL = "_arrival"
 
@@ -29,6 +32,9 @@ ARRIVAL = "_arrival"
 MAX_CONTRACTS_PER_TRADE = 1000
 TRADE_COOLDOWN_SECONDS = 5
 
+#: Bursts of orders that one task group walks.
+BURSTS = 1000
+
 
 # --- T1 ---------------------------------------------------------------------------
 
@@ -159,45 +165,68 @@ def order_cooldown_stream(orders: DataFrame, cooldown_seconds: float = TRADE_COO
         step, ORDER_OUT, "last_accepted timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def order_cooldown_batch(orders: DataFrame, cooldown_seconds: float = TRADE_COOLDOWN_SECONDS) -> DataFrame:
-    """M6 / T3 in batch: the same acceptance rule without a per-account loop.
+def order_cooldown_batch(orders: DataFrame, cooldown_seconds: float = TRADE_COOLDOWN_SECONDS,
+                         state: DataFrame | None = None) -> DataFrame:
+    """M6 / T3 in batch: static checks, then the cooldown since the account's last
+    accepted order, then, with an account ``state`` (M2: exposure, capital, last
+    P&L), the risk limits. An order that a limit rejects starts no cooldown.
 
-    Orders that pass the static checks are cut into bursts: a gap of at
-    least the cooldown since the previous valid order always starts a new
-    burst (its first order is accepted whatever came before). Inside a
-    burst, the acceptance chain is a JVM ``aggregate()`` over the burst's
-    ordered array. Work per task is one burst, not one account's history.
+    Orders that pass the static checks are cut into bursts: a gap of at least the
+    cooldown frees the account whatever came before. Gaps are found per (account,
+    time slot) with the last time of earlier slots carried over, so only slots,
+    not orders, are ordered per account. A burst is walked once, from accepted
+    order to accepted order.
     """
     ok, msg = static_check()
-    x = orders.select("account", "event_id", "ts", ok.alias("_ok"), msg.alias("_msg"))
+    x = orders.withColumn("_ok", ok).withColumn("_msg", msg)
+    if state is not None:
+        x = risk.check_limits(x.join(state, "account", "left"), "size", "price")
+    else:
+        x = x.withColumn("passes", F.lit(True)).withColumn("reason", F.lit(""))
     bad = x.where(~F.col("_ok")).select("account", "event_id", "ts", F.lit(False).alias("accepted"),
                                         F.col("_msg").alias("message"))
-    good = x.where(F.col("_ok")).select("account", "event_id", "ts",
-                                        F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("account").orderBy("_us", "event_id")
-    gap = F.col("_us") - F.lag("_us").over(w)
     cd = int(cooldown_seconds * 1_000_000)
+    good = x.where(F.col("_ok")).select(
+        "account", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+        F.coalesce("passes", F.lit(True)).alias("_pass"), F.coalesce("reason", F.lit("")).alias("_reason"))
+    good = good.withColumn("_slot", F.floor(F.col("_us") / max(cd * 64, 1)))
+
+    earlier = Window.partitionBy("account").orderBy("_slot")
+    ends = good.groupBy("account", "_slot").agg(F.max("_us").alias("_end"))
+    ends = ends.select("account", "_slot", F.lag("_end").over(earlier).alias("_before"))
+    inside = Window.partitionBy("account", "_slot").orderBy("_us", "event_id")
+    good = good.join(ends, ["account", "_slot"])
+    gap = F.col("_us") - F.coalesce(F.lag("_us").over(inside), F.col("_before"))
     good = good.withColumn("_new", F.when(gap.isNull() | (gap >= cd), 1).otherwise(0))
-    good = good.withColumn("_burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = good.groupBy("account", "_burst").agg(
-        F.array_sort(F.collect_list(F.struct("_us", "event_id", "ts"))).alias("_o"))
-    init = F.struct(F.lit(None).cast("bigint").alias("last"),
-                    F.array().cast("array<boolean>").alias("acc"))
-
-    def merge(s, o):
-        take = s["last"].isNull() | (o["_us"] - s["last"] >= F.lit(cd))
-        return F.struct(F.when(take, o["_us"]).otherwise(s["last"]).alias("last"),
-                        F.concat(s["acc"], F.array(take)).alias("acc"))
-
-    res = bursts.select("account", "_o", F.aggregate("_o", init, merge)["acc"].alias("_acc"))
-    res = res.select("account", F.explode(F.arrays_zip("_o", "_acc")).alias("z"))
-    accepted = F.col("z._acc")
-    good_out = res.select("account", F.col("z._o.event_id").alias("event_id"), F.col("z._o.ts").alias("ts"),
-                          accepted.alias("accepted"),
-                          F.when(accepted, F.lit("Order validated")).otherwise(F.lit("cooldown")).alias("message"))
-    return good_out.unionByName(bad)
+    good = good.withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = good.groupBy("account", "_slot").agg(F.sum("_new").alias("_n"))
+    starts = starts.select("account", "_slot", (F.sum("_n").over(earlier) - F.col("_n")).alias("_offset"))
+    good = good.join(starts, ["account", "_slot"]).withColumn("_burst", F.col("_in") + F.col("_offset"))
+    # Neighbouring bursts share a group; the walk is free again at each burst.
+    good = good.withColumn("_part", F.floor(F.col("_burst") / BURSTS))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", "event_id"], kind="stable")
+        times = pdf["_us"].to_numpy()
+        able = np.flatnonzero(pdf["_pass"].to_numpy(bool))
+        starting, taken, at = times[able], [], 0
+        while at < len(able):
+            taken.append(able[at])
+            at = max(at + 1, int(np.searchsorted(starting, starting[at] + cd, side="left")))
+        accepted = np.zeros(len(pdf), bool)
+        accepted[taken] = True
+        last = np.maximum.accumulate(np.where(accepted, np.arange(len(pdf)), -1))
+        cooling = (last >= 0) & (times - times[np.maximum(last, 0)] < cd)
+        limited = "Risk limit: " + pdf["_reason"].astype(str)
+        message = np.where(accepted, "Order validated", np.where(cooling, "cooldown", limited))
+        return pd.DataFrame({"account": pdf["account"], "event_id": pdf["event_id"], "ts": pdf["ts"],
+                             "accepted": accepted, "message": message})
+
+    kinds = dict(good.dtypes)
+    schema = f"account string, event_id {kinds['event_id']}, ts {kinds['ts']}, accepted boolean, message string"
+    done = good.select("account", "_part", "event_id", "ts", "_us", "_pass", "_reason") \
+        .groupBy("account", "_part").applyInPandas(walk, schema)
+    return done.unionByName(bad)
 
 
 # --- T4 ---------------------------------------------------------------------------
