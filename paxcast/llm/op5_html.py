@@ -37,6 +37,10 @@ WORDS = frozenset((
     "consent gdpr notice popup modal overlay sidebar aside comment comments commentlist disqus respond replies share "
     "sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer masthead pagination "
     "pager newsletter subscribe subscription signup login toolbar widget skip hidden alert").split())
+#: Words of names that say what an element lies beside or without, not what it is.
+ABOUT = frozenset("has have with without no".split())
+#: Words of names of main text; one such class outweighs others ("main-content has-sidebar").
+CONTENT = frozenset("article content main post entry story body text".split())
 #: A start tag of the key closes an open element of the set, if no element of
 #: the scope stands between.
 CLOSES = {
@@ -61,15 +65,18 @@ def set_aside(tag: str, attributes) -> bool:
         return True
     if tag in ("html", "body", "main") or not attributes:
         return False
+    names = []
     for name, value in attributes:
         value = (value or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(TOKENS.findall(value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            names += [TOKENS.findall(part) for part in value.split()]
+    aside = [not WORDS.isdisjoint(words) for words in names]
+    return any(a and ABOUT.isdisjoint(words) for a, words in zip(aside, names, strict=True)) and not any(
+        not a and not CONTENT.isdisjoint(words) for a, words in zip(aside, names, strict=True))
 
 
 class Tree(HTMLParser):

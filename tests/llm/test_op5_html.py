@@ -63,3 +63,12 @@ def test_defined_cases(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in extract(pages).collect())
     assert got == [(0, "b", 1), (1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_names_that_only_mention_other_parts():
+    wanted = f"{PROSE}\n{PROSE}"
+    body = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    for names in ("main-content has-sidebar", "post-body no-ads", "content wide", "entry-content sharing-on"):
+        assert main_text(f'<body><div class="{names}">{body}</div><div class="post-comments"><p>{PROSE}</p></div></body>') == wanted
+    for names in ("article-comments", "content-ad", "main-menu", "cookie-notice", "sidebar", "user-comments list"):
+        assert main_text(f'<body><div>{body}</div><div class="{names}">{body}</div></body>') == wanted
