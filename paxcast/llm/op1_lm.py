@@ -38,8 +38,8 @@ from paxcast.llm import common, eliasfano
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 BEFORE_BITS = np.uint64(40)  # bits of the hash of the word before, under its word
 WORD_LOW = np.uint64(48)
-BLOCK_TOKENS = 1_200_000
-SHARD_TOKENS = 4_000_000
+BLOCK_TOKENS = 600_000
+SHARD_TOKENS = 2_500_000
 HOT_SHARE = 16
 LEVELS = 256
 
@@ -237,7 +237,7 @@ class Trie:
         return counts, norm, logs
 
 
-SUMS = {"tokens": np.int64, "known": np.int64, "copies": np.int64, "log_counts": np.float64, "logs": np.float64}
+SUMS = {"tokens": np.uint32, "known": np.uint32, "copies": np.uint32, "log_counts": np.float64, "logs": np.float64}
 
 
 def shard_sums(packed: DataFrame, corpus: dict, hot: dict[int, int], buckets: int) -> DataFrame:
@@ -257,6 +257,7 @@ def shard_sums(packed: DataFrame, corpus: dict, hot: dict[int, int], buckets: in
             first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (prior[1:] != prior[:-1])]))
             words, prior, counts = words[first], prior[first], np.add.reduceat(counts, first)
         trie = Trie(words, prior, counts, corpus, hot)
+        del words, prior, counts, order, learnt
         keys, sums = [], {name: [] for name in SUMS}
         for b in blocks:
             seen, norm, logs = trie.answer(b["words"], b["per_word"].astype(np.int64), b["prior"])
@@ -288,10 +289,10 @@ def shard_sums(packed: DataFrame, corpus: dict, hot: dict[int, int], buckets: in
         out = {"row_key": distinct.view(np.int64)}
         for name, kind in SUMS.items():
             values = np.concatenate([np.frombuffer(v, kind) for v in frame[name]])
-            out[name] = np.bincount(row, values, minlength=len(distinct)).astype(kind)
+            out[name] = np.bincount(row, values, minlength=len(distinct)).astype(np.float64 if kind is np.float64 else np.int64)
         return pd.DataFrame(out)
 
-    kinds = ", ".join(f"{name} {'long' if kind is np.int64 else 'double'}" for name, kind in SUMS.items())
+    kinds = ", ".join(f"{name} {'double' if kind is np.float64 else 'long'}" for name, kind in SUMS.items())
     parts = packed.groupBy("shard").applyInPandas(run, "bucket int, keys binary, " + ", ".join(f"{name} binary" for name in SUMS))
     return parts.groupBy("bucket").applyInPandas(total, f"row_key long, {kinds}")
 
