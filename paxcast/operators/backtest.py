@@ -47,8 +47,9 @@ def eligible_weeks(daily: DataFrame, key: str = "series", date: str = "date", va
     """Forecast and actual of every week that can be traded.
 
     A week (Monday to Sunday) is eligible when at least ``min_train_rows``
-    daily rows precede its Monday and all 7 of its days are present. The
-    forecast only reads earlier weeks (frames end at -1).
+    daily rows precede its Monday and all 7 of its days are present. ``start``
+    and ``end`` bound the Monday (N1). The forecast only reads earlier weeks
+    (frames end at -1).
     """
     weekly = resample.weekly_sums(daily, key, date, value)
     dense = resample.densify_weeks(weekly, key)
@@ -60,7 +61,7 @@ def eligible_weeks(daily: DataFrame, key: str = "series", date: str = "date", va
     if start is not None:
         keep = keep & (monday >= F.next_day(F.date_sub(F.to_date(F.lit(start)), 1), "Mon"))
     if end is not None:
-        keep = keep & (F.col("week_end") <= F.to_date(F.lit(end)))
+        keep = keep & (monday <= F.to_date(F.lit(end)))
     return f.where(keep).select(key, monday.alias("monday"), "week_end", "week_idx", "prediction", "uncertainty",
                                 F.col("total").alias("actual"))
 

@@ -21,3 +21,14 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     mod = _entry()
     assert set(mod.oracle_sql()) <= set(mod.queries())
+
+
+def test_entry_without_the_llm_subpackage(monkeypatch):
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("paxcast.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "paxcast.llm", None)
+    mod = _entry()
+    assert "weekly_forecast" in mod.queries() and not any(q.startswith("op1_") for q in mod.queries())
+    assert set(mod.oracle_sql()) <= set(mod.queries())

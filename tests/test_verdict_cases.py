@@ -190,3 +190,13 @@ def test_win_rate_counts_positive_realised_pnl(spark):
     assert [w is None for w in want] == [g is None for g in got]
     assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
     assert backtest.ledger_metrics(led).first().win_rate == pytest.approx(1 / 3)
+
+
+def test_end_bounds_the_monday(spark):
+    days = [dt.date(2022, 1, 3) + dt.timedelta(days=i) for i in range(7 * 70)]
+    daily = spark.createDataFrame([("s", d, 50.0 + d.day) for d in days], "series string, date date, passengers double")
+    last = days[-7]  # the Monday of the last week
+    weeks = {r.monday for r in backtest.eligible_weeks(daily, end=str(last + dt.timedelta(days=2))).collect()}
+    assert last in weeks
+    assert weeks <= {r.monday for r in backtest.mondays(spark, "2022-01-03", str(last)).collect()}
+    assert last not in {r.monday for r in backtest.eligible_weeks(daily, end=str(last - dt.timedelta(days=1))).collect()}
