@@ -97,13 +97,14 @@ def fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def cut(spark: SparkSession, folder: str) -> DataFrame:
+def cut(spark: SparkSession, folder: str, texts: bool = False) -> DataFrame:
     """Every cut of the archives at a magic, read by byte ranges.
 
     ``rel`` is where the cut's magic stands, counted from the first byte of the
     range's first cut; ``next`` (counted alike) is where its header says that
     the successor starts, null without a header. A candidate whose whole payload
-    lies in its cut is digested here, so its text isn't moved again.
+    lies in its cut is digested here, so its text isn't moved again; ``value``
+    is null unless ``texts`` are asked for.
     """
 
     def run(batches):
@@ -130,7 +131,7 @@ def cut(spark: SparkSession, folder: str) -> DataFrame:
                 rows.append((
                     file, block, rel - len(MAGIC), size, row["next"], got.get("WARC-Type"), ident and ident[1], got.get("WARC-Target-URI"),
                     refers and refers[1], got.get("WARC-Payload-Digest"), got.get("X-Payload-Length"),
-                    row["payload_bytes"], row["payload_digest"], row["body_from"], row["body_length"], value))
+                    row["payload_bytes"], row["payload_digest"], row["body_from"], row["body_length"], value if texts else None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), ARROW, strict=True)], names=[f.split()[0] for f in CUTS.split(", ")])
 
@@ -232,7 +233,7 @@ def owners(links: DataFrame, reached: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records that the chains reach: header fields, payload length and
     digest of the payload as read."""
-    cuts = common.materialise(cut(spark, folder))
+    cuts = common.materialise(cut(spark, folder).drop("value"))
     links = common.materialise(placed(cuts.select("file", "block", "rel", "size", "next")))
     reached = entries(common.materialise(exits(links)))
     owned = common.materialise(owners(links, reached))
@@ -240,12 +241,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("bytes")
     ranges = ranges.select("file", "block", before.alias("before"))
     at = (F.col("rel") + F.col("before")).alias("at")
-    heads = cuts.drop("value").join(ranges, ["file", "block"]).withColumn("at", at)
+    heads = cuts.join(ranges, ["file", "block"]).withColumn("at", at)
     heads = heads.join(owned.where("owner = at").select("file", "at"), ["file", "at"], "left_semi")
-    # Records cut by a magic in their payload: only their texts are gathered.
+    columns = ("record_type", "id", "url", "refers", "digest", "full_length")
+    # Records cut by a magic in their payload: the archives are read again, and
+    # only these records' texts are gathered.
     torn = heads.where("payload_bytes is null").select("file", F.col("at").alias("owner"), "body_from", "body_length")
+    torn = common.materialise(torn)
+    if torn.isEmpty():
+        return heads.select(*columns, "payload_bytes", "payload_digest")
     pieces = owned.join(torn, ["file", "owner"])
-    texts = cuts.select("file", "block", "rel", "value").join(ranges, ["file", "block"]).select("file", at, "value")
+    texts = cut(spark, folder, texts=True).select("file", "block", "rel", "value").join(ranges, ["file", "block"]).select("file", at, "value")
     joined = pieces.join(texts, ["file", "at"]).groupBy("file", "owner", "body_from", "body_length").agg(
         F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
     whole = F.aggregate(
@@ -255,8 +261,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     mended = joined.withColumn("body", body).select(
         "file", F.col("owner").alias("at"), F.octet_length("body").cast("long").alias("mended_bytes"), base32_sha1(F.col("body")).alias("mended_digest"))
     return heads.join(mended, ["file", "at"], "left").select(
-        "record_type", "id", "url", "refers", "digest", "full_length",
-        F.coalesce("payload_bytes", "mended_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "mended_digest").alias("payload_digest"))
+        *columns, F.coalesce("payload_bytes", "mended_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "mended_digest").alias("payload_digest"))
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
