@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from paxcast.llm import common
 
 MAGIC = "WARC/1.1\r\n"
+MARKS = 1 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648 base32
 
 
@@ -59,8 +60,14 @@ def records(pages: DataFrame) -> DataFrame:
     source = source.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     firsts = source.groupBy("digest").agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    shared = firsts.where("copies > 1")
-    joined = source.join(shared, "digest", "left")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
+    shared = common.materialise(firsts.where("copies > 1"))
+    # At most MARKS numbers say which payloads may be shared; pages that can't
+    # be are written where they are read, and only the others are moved.
+    marks = F.broadcast(shared.select(bucket.alias("mark")).distinct())
+    source = source.withColumn("mark", bucket)
+    alone = source.join(marks, "mark", "left_anti").withColumn("copies", F.lit(None).cast("long")).withColumn("first_id", F.lit(None).cast("long"))
+    joined = alone.unionByName(source.join(marks, "mark", "left_semi").join(shared, "digest", "left"))
     # A page without an id can't be named by a revisit: it is a response.
     revisit = F.col("copies").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") > F.col("first_id"))
     size = F.octet_length("html")
