@@ -65,3 +65,16 @@ def test_defined_cases(spark):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, DIR)
         assert {r.doc_id for r in table.collect()} == (set() if empty else {1})
+
+
+def test_near_dedup_drops_true_repeats_only(spark):
+    def text(seed, n=60):
+        return " ".join(f"{seed}{i}" for i in range(n))
+
+    table = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d")),
+             (None, text("e")), (None, text("e", 63)), (3, text("f")), (None, text("f", 63)), (None, ""), (None, None), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in table], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.minhash_dedup(spark, docs, DIR).select("doc_id", "text").collect()), key=str)
+    (e,) = [r for r in got if (r[1] or "").startswith("e")]  # one of the near copies without an id
+    assert e in table and got == sorted(
+        [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), e, (3, text("f")), (None, ""), (None, None), (8, None)], key=str)
