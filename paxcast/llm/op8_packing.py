@@ -5,7 +5,8 @@ ids, so a document leaves at most one short piece. Piece lengths (not the ids)
 are dealt at random over groups of bounded expected size, whatever document or
 source they come from, and every group is packed by itself: pieces in order of
 falling length go to the first bin with room, found by walking a tournament
-tree whose inner nodes hold the largest room below them.
+tree whose inner nodes hold the largest room below them. The ids stay in the
+shared folder meanwhile and join their places by the number of the piece.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 one by one; an empty table gives no pieces; other columns are ignored.
@@ -13,7 +14,6 @@ one by one; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from array import array
 
 import numpy as np
@@ -29,7 +29,10 @@ CAPACITY = 2048
 #: Pieces that a group holds on average; the bound of a packing task.
 GROUP_PIECES = 20_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+DIGESTS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+#: Bytes of ids in an Arrow batch.
+BATCH_BYTES = 1 << 20
 
 
 def library_encoder(path: str):
@@ -44,22 +47,30 @@ def library_encoder(path: str):
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Each document's ids cut at every ``capacity``: place, length and checksum."""
+    """Each document's ids cut at every ``capacity``: place, length and the ids
+    (little-endian, four bytes each)."""
+
+    def batch_of(rows):
+        *numbers, ids = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in numbers), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     def run(batches):
         encode = pretoken.kept(("tokenizers", path), lambda: library_encoder(path))
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = encode(text or "") + end
                 for at in range(0, len(raw), 4 * capacity):
                     part = raw[at:at + 4 * capacity]
-                    rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4))
+                    rows.append((doc_id, at // 4, len(part) // 4, len(raw) // 4, part))
+                    held += len(part)
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield batch_of(rows)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -89,27 +100,31 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Sequences for a table of pieces; adds ``sequence_id`` and ``offset``.
+    """Places ``sequence_id`` and ``offset`` for a table of numbered pieces
+    (``piece``, ``length``).
 
-    The group of a piece is a random draw seeded by its content and place, so a
-    retried task deals alike; ``sequence_id`` is the group in the high bits and
-    the group's bin in the low 32.
+    The group of a piece is a random draw seeded by its number, so a retried task
+    deals alike; ``sequence_id`` is the group in the high bits and the group's bin
+    in the low 32.
     """
     spark = cut.sparkSession
     groups = common.bucket_count(spark, cut.count(), group_pieces)
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(*cut.columns, F.lit(20261203)), F.lit(groups)))
+    dealt = cut.select("piece", "length", F.pmod(F.xxhash64("piece", F.lit(20261203)), F.lit(groups)).alias("_group"))
 
     def one_group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
-        bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), capacity)
+        frame = frame.sort_values("piece", kind="stable")
+        bins, offsets = first_fit_decreasing(frame.pop("length").to_numpy(), capacity)
         frame["sequence_id"] = frame.pop("_group").astype("int64") * (1 << 32) + bins
         frame["offset"] = offsets
         return frame
 
-    return dealt.groupBy("_group").applyInPandas(one_group, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInPandas(one_group, "piece long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Token pieces of whole documents packed into sequences. A sequence is
-    padded to ``capacity``; one whose ids come to a power of two stays as it is."""
-    return pack(common.materialise(pieces(docs, path, capacity)), capacity, group_pieces)
+    """Token pieces of whole documents packed into sequences: where each piece
+    stands, its ``ids`` and their checksum. A sequence is padded to ``capacity``;
+    one whose ids come to a power of two stays as it is."""
+    cut = common.materialise(pieces(docs, path, capacity).withColumn("piece", F.monotonically_increasing_id()))
+    packed = cut.join(pack(cut, capacity, group_pieces), "piece")
+    return packed.withColumn("ids_crc32", F.crc32("ids")).select(*DIGESTS, "ids")

@@ -39,7 +39,7 @@ def op7_minhash_hamming(spark, sf_dir):
 
 
 def op8_packing_ffd(spark, sf_dir):
-    return op8_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return op8_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(*op8_packing.DIGESTS)
 
 
 def op9_suffix_dedup(spark, sf_dir):

@@ -78,3 +78,17 @@ def test_tree_equals_plain_first_fit():
                 room.append(100)
             assert (bins[i], offsets[i]) == (b, 100 - room[b])
             room[b] -= lengths[i]
+
+
+def test_sequences_hold_the_ids(spark):
+    texts = {1: "x y " * 3000, 2: "short text", 3: None, 4: "another one, " * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    encode = library()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in op8_packing.pack_documents(docs, PATH).collect():
+        ids = list(struct.unpack(f"<{r.length}I", r.ids))
+        by_doc[r.doc_id].append((r.start, ids))
+        by_sequence[r.sequence_id].append((r.offset, ids))
+    for doc_id, text in texts.items():
+        assert [i for _, ids in sorted(by_doc[doc_id]) for i in ids] == [*encode(text or ""), 1]
+    assert all(sum(len(ids) for _, ids in spans) <= 2048 for spans in by_sequence.values())
