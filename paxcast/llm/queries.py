@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from paxcast.llm import op1_lm, op2_embeddings, op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op9_suffix, op10_quality, op11_spelling, op12_secrets
+from paxcast.llm import op1_lm, op2_embeddings, op3_bpe, op4_toxicity, op5_html, op6_warc, op7_minhash, op8_packing, op9_suffix, op10_quality, op11_spelling, op12_secrets, op13_repair
 from paxcast.llm.common import table
 
 
@@ -58,7 +58,11 @@ def op12_secret_scan(spark, sf_dir):
     return op12_secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_elias_fano, op2_embedding_range_join, op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op9_suffix_dedup, op10_quality_rules, op11_spelling_variants, op12_secret_scan)}
+def op13_conversation_repair(spark, sf_dir):
+    return op13_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_elias_fano, op2_embedding_range_join, op3_bpe_roundtrip, op4_toxicity_compression, op5_html_main_text, op6_warc_chain, op7_minhash_hamming, op8_packing_ffd, op9_suffix_dedup, op10_quality_rules, op11_spelling_variants, op12_secret_scan, op13_conversation_repair)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op2_embedding_range_join": """
