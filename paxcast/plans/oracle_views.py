@@ -86,3 +86,30 @@ X14 = """x14 AS (
 
 def with_(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+
+def gram_sql(source: str, keys: str, columns: list[str], extra: str = "") -> str:
+    """SELECT of the cross-product matrix of a constant and ``columns``, as a flat list."""
+    named = ["1.0", *(f"CAST({c} AS DOUBLE)" for c in columns)]
+    cells = ", ".join(f"SUM({named[min(i, j)]} * {named[max(i, j)]})" for i in range(len(named)) for j in range(len(named)))
+    return f"SELECT {keys}, COUNT(*) AS n_rows, [{cells}] AS g{extra} FROM {source} GROUP BY {keys}"
+
+
+def sweep_sql(name: str, source: str, keys: str, m: int, pivots: str) -> str:
+    """A CTE ``name`` with ``keys`` and ``s``, the matrix ``g`` of ``source`` swept on the
+    positions of the list ``pivots``, one recursive step per position."""
+    step = f"""list_transform(g, lambda v, x: CASE
+        WHEN NOT (g[p * {m} + p + 1] > 1e-9 * g0[p * {m} + p + 1]) THEN v
+        WHEN (x - 1) // {m} = p AND (x - 1) % {m} = p THEN -1.0 / v
+        WHEN (x - 1) // {m} = p OR (x - 1) % {m} = p THEN v / g[p * {m} + p + 1]
+        ELSE v - g[((x - 1) // {m}) * {m} + p + 1] * g[p * {m} + (x - 1) % {m} + 1] / g[p * {m} + p + 1] END)"""
+    return f"""{name} AS (
+  WITH RECURSIVE r AS (
+    SELECT {keys}, g, g AS g0, {pivots} AS todo FROM {source}
+    UNION ALL
+    SELECT {keys}, {step} AS g, g0, todo FROM (SELECT *, old[1] AS p, old[2:] AS todo FROM (SELECT * EXCLUDE (todo), todo AS old FROM r) q WHERE len(old) > 0) q2)
+  SELECT {keys}, g AS s FROM r WHERE len(todo) = 0)"""
+
+
+def coefficient_sql(p: int, y: int, m: int) -> str:
+    return f"(CASE WHEN s[{p * m + p + 1}] < 0 THEN s[{p * m + y + 1}] ELSE 0.0 END)"
