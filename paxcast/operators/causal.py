@@ -1,20 +1,19 @@
 """Causal graph and effect estimates (K1-K7).
 
-The graph is a small dimension (nodes, edges) held as DataFrames; path
-search is an iterative join that extends every simple path by one edge per
-step (a path never revisits a node), bounded by the node count. Effects
-are OLS fits over a data table: one cause with at most one categorical
-control is solved exactly by within-level demeaning (Frisch-Waugh-Lovell)
-using grouped aggregates; other control sets use Spark ML's normal-equation
-``LinearRegression``.
+The graph is an edge table. Paths are found by a recursive query, so the plan
+is the same for any number of nodes; back-door paths and adjustment sets of
+all (cause, effect) pairs come out of it as rows. Effects are least squares:
+one aggregate of the full cross-product matrix over the data table serves
+every pair, whose controls are just positions to sweep it on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paxcast.functions.stats import norm_cdf_sql
+from paxcast.operators import regression
 
 # The causal graph of passenger volume. Nodes as
 # (id, name, type); edges as (cause, effect, strength, lag).
@@ -61,40 +60,48 @@ def edges_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EDGES), "src string, dst string, strength string, lag int")
 
 
-def _node_count(edges: DataFrame) -> int:
-    """Number of nodes of a graph dimension (the bound of a simple path)."""
-    return edges.select("src").union(edges.select("dst")).distinct().count()
+def simple_paths(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """K1: every simple directed path as ``(src, dst, path array)``; a path has at
+    most ``max_len`` nodes, if given. A recursive query adds one edge per step; a
+    path never comes back to a node, so cycles end. The session's limits on
+    recursion (``spark.sql.cteRecursionLevelLimit``, ``...RowLimit``) raise an error
+    where they are passed, never a shorter answer."""
+    longest = f"AND size(p.path) < {int(max_len)}" if max_len else ""
+    return edges.sparkSession.sql(f"""
+      WITH RECURSIVE p(src, dst, path) AS (
+        SELECT src, dst, array(src, dst) FROM {{e}} WHERE src <> dst
+        UNION ALL
+        SELECT p.src, e.dst, array_append(p.path, e.dst) FROM p JOIN {{e}} e ON p.dst = e.src
+        WHERE NOT array_contains(p.path, e.dst) {longest})
+      SELECT src, dst, path FROM p""", e=edges.select("src", "dst").distinct())
 
 
-def simple_paths(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """K1: every simple directed path as ``(src, dst, path array)``.
+def reachable(edges: DataFrame) -> DataFrame:
+    """Distinct ``(src, dst)`` pairs of different nodes joined by a path. For graphs
+    whose paths can be listed; :func:`closure` is for others."""
+    return simple_paths(edges).select("src", "dst").distinct()
 
-    Step k joins the paths of length k with the edges leaving their last
-    node, dropping extensions that revisit a node; a simple path has at most
-    as many nodes as the graph (``max_len`` bounds it further).
-    """
-    e = edges.select("src", "dst")
-    frontier = e.where("src <> dst").select("src", "dst", F.array("src", "dst").alias("path"))
-    out = frontier
-    for _ in range((max_len or _node_count(edges)) - 2):
-        nxt = (frontier.alias("p").join(e.alias("e"), F.col("p.dst") == F.col("e.src"))
-               .where(~F.array_contains(F.col("p.path"), F.col("e.dst")))
-               .select(F.col("p.src").alias("src"), F.col("e.dst").alias("dst"),
-                       F.concat(F.col("p.path"), F.array(F.col("e.dst"))).alias("path")))
-        out = out.unionByName(nxt)
-        frontier = nxt
-    return out
 
+def closure(edges: DataFrame) -> DataFrame:
+    """The pairs of :func:`reachable` for large, dense or cyclic graphs: the reach
+    doubles each round, rounds are written to the shared folder and end when
+    nothing is added, so neither paths nor plans grow."""
+    import uuid
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """Distinct ``(src, dst)`` pairs joined by a path between two nodes: the
-    reach doubles each step, so paths are never listed."""
-    reach = edges.select("src", "dst").distinct()
-    for _ in range(max(1, _node_count(edges) - 1).bit_length()):
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")) \
-            .select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = reach.unionByName(further).distinct()
-    return reach.where("src <> dst")
+    from paxcast.session import checkpoint_dir
+
+    spark = edges.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
+    reach, known, step = edges.select("src", "dst").distinct(), -1, 0
+    while True:
+        reach.write.parquet(f"{root}/{step}")
+        reach = spark.read.schema(reach.schema).parquet(f"{root}/{step}")
+        n = reach.count()
+        if n == known:
+            return reach.where("src <> dst")
+        known, step = n, step + 1
+        further = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src"))
+        reach = reach.unionByName(further.select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))).distinct()
 
 
 def descendants(edges: DataFrame) -> DataFrame:
@@ -102,19 +109,35 @@ def descendants(edges: DataFrame) -> DataFrame:
     return reachable(edges).groupBy("src").agg(F.count("dst").alias("n_effects"))
 
 
+def all_backdoor_paths(edges: DataFrame) -> DataFrame:
+    """K3 for every pair: ``(cause, effect, path)``, the paths from a parent of the
+    cause to the effect that avoid the cause. Avoiding it, they can't take the direct
+    edge, so that needs no removal."""
+    parents = edges.where("src <> dst").select(F.col("src").alias("_parent"), F.col("dst").alias("cause")).distinct()
+    p = simple_paths(edges).join(parents, F.col("src") == F.col("_parent"))
+    return p.where((F.col("dst") != F.col("cause")) & ~F.array_contains("path", F.col("cause"))).select(
+        "cause", F.col("dst").alias("effect"), "path")
+
+
+def adjustment_sets(edges: DataFrame) -> DataFrame:
+    """K4 for every pair that a directed path joins: ``(cause, effect, controls)``, the
+    nodes on its back-door paths without the two, sorted; empty if there are none."""
+    pairs = reachable(edges).select(F.col("src").alias("cause"), F.col("dst").alias("effect"))
+    nodes = all_backdoor_paths(edges).select("cause", "effect", F.explode("path").alias("_node")).where("_node <> effect")
+    sets = nodes.groupBy("cause", "effect").agg(F.array_sort(F.collect_set("_node")).alias("controls"))
+    return pairs.join(sets, ["cause", "effect"], "left").select(
+        "cause", "effect", F.coalesce("controls", F.array().cast("array<string>")).alias("controls"))
+
+
 def backdoor_paths(edges: DataFrame, cause: str, effect: str) -> DataFrame:
-    """K3: paths from each parent of ``cause`` to ``effect`` that avoid
-    ``cause``, in the graph without the direct edge cause -> effect."""
-    g = edges.where(~((F.col("src") == cause) & (F.col("dst") == effect)))
-    parents = edges.where(F.col("dst") == cause).select(F.col("src").alias("parent"))
-    p = simple_paths(g).where((F.col("dst") == effect) & ~F.array_contains("path", F.lit(cause)))
-    return p.join(parents, p.src == parents.parent, "left_semi")
+    """K3: the back-door paths of one pair as ``(src, dst, path)``."""
+    p = all_backdoor_paths(edges).where((F.col("cause") == cause) & (F.col("effect") == effect))
+    return p.select(F.col("path")[0].alias("src"), F.col("effect").alias("dst"), "path")
 
 
 def adjustment_set(edges: DataFrame, cause: str, effect: str) -> DataFrame:
-    """K4: every node on a back-door path, minus the cause and the effect."""
-    p = backdoor_paths(edges, cause, effect)
-    n = p.select(F.explode("path").alias("node")).distinct()
+    """K4: every node on a back-door path of one pair, minus the cause and the effect."""
+    n = backdoor_paths(edges, cause, effect).select(F.explode("path").alias("node")).distinct()
     return n.where(~F.col("node").isin(cause, effect))
 
 
@@ -171,33 +194,74 @@ def ols_effect(data: DataFrame, cause: str, effect: str, control: str | None = N
     )
 
 
-def ols_effect_ml(data: DataFrame, cause: str, effect: str, numeric=(), categorical=()) -> DataFrame:
-    """K5, general control sets: one-hot categorical controls and numeric
-    controls in a Spark ML normal-equation fit (distributed X'X aggregation);
-    standard errors and p-values come from the fit summary."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    stages, cols = [], [cause, *numeric]
+def ols_effects(data: DataFrame, pairs: DataFrame, numeric: list[str], categorical: dict[str, list]) -> DataFrame:
+    """K5 for a table of pairs (``cause``, ``effect``, ``controls`` array): OLS of the
+    effect on a constant, the cause and its controls, one row per pair: coefficient,
+    std error, p-value, 95% interval, R^2, n and the controls used.
+
+    ``numeric``: measured columns, that may be cause, effect or control.
+    ``categorical``: those that enter as dummies when they control, with their levels
+    (the first is the base). Pairs with an unmeasured cause or effect give no row;
+    unmeasured controls are left out. Rows with a null in any measured column are not
+    used, so every pair is fitted on the same rows, by one aggregate."""
+    measured = [*numeric, *(c for c in categorical if c not in numeric)]
+    dummies = {c: [f"_{c}_{i}" for i in range(1, len(levels))] for c, levels in categorical.items()}
+    x = data.select(*(F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in measured)).dropna()
+    x = x.select(*numeric, *(F.when(F.col(c) == F.lit(levels[i]), 1.0).otherwise(0.0).alias(name)
+                             for c, levels in categorical.items() for i, name in enumerate(dummies[c], 1)))
+    columns = [*numeric, *(name for names in dummies.values() for name in names)]
+    m = len(columns) + 1
+    place = {c: i for i, c in enumerate(columns, 1)}
+    one = regression.gram(x, [], columns).select(F.struct("rows", "g").alias("all")).scalar()
+
+    def lookup(entries: dict) -> Column:
+        return F.create_map(*(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for kv in entries.items() for v in kv))
+
+    own = lookup({c: [place[c]] for c in numeric})
+    control = lookup({c: [place[d] for d in dummies[c]] if c in dummies else [place[c]] for c in measured})
+    p = pairs.select("cause", "effect", F.filter("controls", lambda c: F.array_contains(F.lit(measured), c)).alias("controls"))
+    p = p.where(F.col("cause").isin(numeric) & F.col("effect").isin(numeric))
+    p = p.withColumn("_all", one).withColumn("_own", own).withColumn("_control", control)
+    p = p.selectExpr(
+        "cause", "effect", "controls", "_all.rows AS n", "_all.g AS g", "element_at(_own, cause)[0] AS c", "element_at(_own, effect)[0] AS e",
+        "concat(array(0), element_at(_own, cause), flatten(transform(controls, k -> element_at(_control, k)))) AS _pivots")
+    p = p.withColumn("s", regression.swept("g", "_pivots", m))
+    p = p.selectExpr(
+        "cause", "effect", "controls", "n", f"IF(s[c * {m} + c] < 0, s[c * {m} + e], NULL) AS beta", f"-s[c * {m} + c] AS factor", f"s[e * {m} + e] AS ssr",
+        f"g[e * {m} + e] - try_divide(g[e] * g[e], n) AS sst", f"cast(nullif(greatest(n - size(filter(_pivots, k -> s[k * {m} + k] < 0)), 0), 0) AS double) AS dof")
+    p = p.withColumn("se", F.expr("sqrt(greatest(ssr, 0D) / dof * factor)")).withColumn("tstat", F.expr("try_divide(beta, se)"))
+    return _effect_rows(p.withColumn("tq", F.expr(_t_quantile("dof"))).withColumn("n_obs", F.col("n"))).withColumn("controls", F.array_join("controls", ","))
+
+
+def ols_effect_ml(data: DataFrame, cause: str, effect: str, numeric=(), categorical=(), max_levels: int = 64) -> DataFrame:
+    """K5 for one pair with numeric and categorical controls, whose levels are read
+    from the data (an error beyond ``max_levels`` of one column)."""
+    columns = list(dict.fromkeys([cause, effect, *numeric]))
+    levels = {}
     for c in categorical:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_oh", dropLast=True)]
-        cols.append(f"{c}_oh")
-    stages.append(VectorAssembler(inputCols=cols, outputCol="features"))
-    lr = LinearRegression(featuresCol="features", labelCol=effect, solver="normal", fitIntercept=True)
-    d = data.select(cause, effect, *numeric, *[F.col(c).cast("string").alias(c) for c in categorical]).dropna()
-    model = Pipeline(stages=[*stages, lr]).fit(d)
-    fit = model.stages[-1]
-    summ = fit.summary
-    beta, se, p = float(fit.coefficients[0]), float(summ.coefficientStandardErrors[0]), float(summ.pValues[0])
-    dof = float(summ.degreesOfFreedom)
-    z = Z975
-    tq = z + (z ** 3 + z) / (4 * dof) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * dof ** 2)
-    row = [(cause, effect, beta, se, p, beta - tq * se, beta + tq * se, float(summ.r2), int(summ.numInstances))]
-    return data.sparkSession.createDataFrame(
-        row, "cause string, effect string, effect_estimate double, std_err double, p_value double, "
-             "conf_int_lower double, conf_int_upper double, r_squared double, n_obs bigint")
+        found = data.select(F.col(c)).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
+        levels[c] = [r[0] for r in found]
+    pair = data.sparkSession.createDataFrame([(cause, effect, [*numeric, *categorical])], "cause string, effect string, controls array<string>")
+    return ols_effects(data, pair, columns, levels)
+
+
+def _effect_rows(s: DataFrame) -> DataFrame:
+    return s.select(
+        "cause", "effect", F.col("beta").alias("effect_estimate"), F.col("se").alias("std_err"),
+        F.expr(_t_pvalue("tstat", "dof")).alias("p_value"), (F.col("beta") - F.col("tq") * F.col("se")).alias("conf_int_lower"),
+        (F.col("beta") + F.col("tq") * F.col("se")).alias("conf_int_upper"), (1.0 - F.try_divide("ssr", "sst")).alias("r_squared"), "n_obs",
+        *(["controls"] if "controls" in s.columns else []))
+
+
+def correlated_edges(data: DataFrame, order: list[str], top: int) -> DataFrame:
+    """An edge table learnt from data: of all pairs of columns, directed by their
+    place in ``order``, the ``top`` with the largest absolute correlation."""
+    x = data.select(*(F.col(c).cast("double").alias(c) for c in order)).dropna()
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1:]]
+    found = x.agg(F.array(*(F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.abs(F.corr(a, b)).alias("weight")) for a, b in pairs)).alias("_e"))
+    return found.select(F.inline("_e")).orderBy(F.col("weight").desc(), "src", "dst").limit(top).select("src", "dst")
 
 
 def trading_factors(edges: DataFrame, effects: DataFrame, target: str = TARGET) -> DataFrame:
