@@ -106,7 +106,8 @@ def _extract(spark, folder, value, mtime):
 
 
 def _stored(spark, target):
-    return {(r.series, r.date.day): r.passengers for r in spark.read.parquet(jobs.latest_version(spark, target)).collect()}
+    schema = spark.createDataFrame([], "series string, date date, passengers double").schema
+    return {(r.series, r.date.day): r.passengers for r in jobs.read_stored(spark, target, schema).collect()}
 
 
 def test_ingest_orders_by_file_time_and_survives_replay(spark):
@@ -120,7 +121,7 @@ def test_ingest_orders_by_file_time_and_survives_replay(spark):
     jobs.incremental_ingest(spark, d + "/src2/*", schema, d + "/tgt", d + "/ck2").awaitTermination()
     assert _stored(spark, d + "/tgt") == {("A", 1): 5.0, ("B9.0", 2): 9.0, ("B1.0", 2): 1.0, ("B5.0", 2): 5.0}
     # A replayed batch and a folder that its writer never committed change nothing.
-    os.makedirs(d + "/tgt/v=99_half-0")
+    os.makedirs(d + "/tgt/data/half-0")
     batch = spark.read.parquet(d + "/src2/a").withColumn(jobs.ARRIVAL, F.lit("2020-01-01").cast("timestamp")).withColumn("passengers", F.lit(0.0))
     before = jobs.latest_version(spark, d + "/tgt")
     tag = os.path.basename(before).split("_", 1)[1].rsplit("-", 1)
