@@ -4,17 +4,15 @@ The weekly backtest is a replay over recorded tables: forecasts for every
 week come from one window pass (I1), quotes come from a quote table, and the
 only state that crosses weeks is a running sum, so there is no loop. Every
 window is partitioned by the series or account key. The daily ledger's average
-cost is the one recursion; it runs per account over its days.
+cost is a recurrence of one step a day, solved in closed form by running products.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paxcast.operators import forecast, resample, signals
 
@@ -188,34 +186,33 @@ def daily_ledger(targets: DataFrame, key: str = "account", date: str = "date", t
     position * price; ``realised_pnl`` of a trade that closes something (null
     otherwise), at average cost, before costs.
 
-    The average cost is a recursion over an account's days, so it runs in a
-    grouped function; a group is bounded by the calendar."""
+    Average cost: between two crossings of zero (a spell) an account's book value, cost
+    times size held, follows ``value = keep * value before + added``: buying adds
+    its price, selling keeps the share still held. With K the running product of
+    ``keep``, value / K is the running sum of added / K, so a spell is two window
+    sums, however long it is."""
     w = Window.partitionBy(key).orderBy(date)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = targets.withColumn("_t", F.coalesce(F.last(target, ignorenulls=True).over(run), F.lit(0)))
     x = x.withColumn("position", F.col("_t").cast("bigint"))
-    x = x.withColumn("trade", F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0)).cast("bigint"))
+    x = x.withColumn("_held", F.coalesce(F.lag("position").over(w), F.lit(0)).cast("bigint"))
+    x = x.withColumn("trade", F.col("position") - F.col("_held"))
     x = x.withColumn("costs", transaction_costs(F.col("trade"), F.col(price)))
     x = x.withColumn("cash", F.lit(float(capital)) - F.sum(F.col("trade") * F.col(price) + F.col("costs")).over(run))
-    x = x.withColumn("equity", F.col("cash") + F.col("position") * F.col(price)).drop("_t")
-    schema = T.StructType([*x.schema.fields, T.StructField("realised_pnl", T.DoubleType())])
-
-    def realised(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date, kind="stable")
-        held, cost, out = 0, 0.0, []
-        for size, at in zip(pdf["trade"].tolist(), pdf[price].tolist()):
-            gain = None
-            if size and held * size >= 0:
-                cost = (cost * abs(held) + at * abs(size)) / (abs(held) + abs(size))
-            elif size:
-                gain = min(abs(size), abs(held)) * (at - cost) * (1 if held > 0 else -1)
-                if abs(size) > abs(held):
-                    cost = at
-            held += size
-            out.append(gain)
-        return pdf.assign(realised_pnl=pd.array(out, dtype="Float64"))
-
-    return x.groupBy(key).applyInPandas(realised, schema)
+    x = x.withColumn("equity", F.col("cash") + F.col("position") * F.col(price))
+    now, held = F.col("position"), F.col("_held")
+    opens = (now != 0) & (F.signum(now) != F.signum(held))
+    x = x.withColumn("_spell", F.sum(opens.cast("int")).over(run))
+    keep = F.when(~opens & (now != 0) & (F.abs(now) < F.abs(held)), F.abs(now) / F.abs(held)).otherwise(1.0)
+    added = F.when(opens, F.abs(now) * F.col(price)).when((now != 0) & (F.abs(now) > F.abs(held)), (F.abs(now) - F.abs(held)) * F.col(price))
+    spell = Window.partitionBy(key, "_spell").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_log", F.sum(F.log(keep)).over(spell)).withColumn("_added", F.coalesce(added, F.lit(0.0)))
+    value = F.exp("_log") * F.sum(F.col("_added") / F.exp("_log")).over(spell)
+    x = x.withColumn("_cost", F.when(now != 0, value / F.abs(now)))
+    x = x.withColumn("_cost", F.lag("_cost").over(w))
+    closes = F.col("trade") * held < 0
+    gain = F.least(F.abs("trade"), F.abs(held)) * (F.col(price) - F.col("_cost")) * F.signum(held)
+    return x.withColumn("realised_pnl", F.when(closes, gain)).drop("_t", "_held", "_spell", "_log", "_added", "_cost")
 
 
 def ledger_metrics(ledger: DataFrame, key: str = "account", date: str = "date", capital: float = 10_000.0,

@@ -43,9 +43,9 @@ def feature_matrix(daily: DataFrame, processed_weather: DataFrame | None = None,
 
 
 def training_matrix(daily: DataFrame, key: str = "series", date: str = "date", value: str = "passengers",
-                    leaky: bool = False) -> DataFrame:
+                    leaky: bool = False, complete: bool = True) -> DataFrame:
     """``day_of_week, month, is_weekend, lag_1, lag_7, rolling_mean_7, rolling_std_7``
-    and the target; rows with any null feature are dropped.
+    and the target; rows with any null feature are dropped (kept if not ``complete``).
 
     Rolling frames cover the 7 rows before the target; ``leaky=True``
     reproduces the original frame that includes the target row.
@@ -62,7 +62,7 @@ def training_matrix(daily: DataFrame, key: str = "series", date: str = "date", v
         full_frame(F.avg, value, w, lo, hi).alias("rolling_mean_7"),
         full_frame(F.stddev_samp, value, w, lo, hi).alias("rolling_std_7"),
     )
-    return x.dropna(subset=["lag_1", "lag_7", "rolling_mean_7", "rolling_std_7"])
+    return x if not complete else x.dropna(subset=["lag_1", "lag_7", "rolling_mean_7", "rolling_std_7"])
 
 
 def point_features(daily: DataFrame, key: str = "series", date: str = "date",

@@ -271,15 +271,31 @@ def strategy_signals(df: DataFrame, account: str = "account", ts: str = "ts",
     )
 
 
+def feature_reliability(current: DataFrame, importance: DataFrame, keys=("series", "date"), quantile: float = 0.8,
+                        penalty: float = 0.8) -> DataFrame:
+    """L3, feature part: ``missing_features`` and ``feature_confidence`` of every row.
+
+    ``importance`` holds (feature, importance); the features above its interpolated
+    ``quantile`` are the important ones. A row lacks those that are no column of
+    ``current`` or null there; each costs a factor ``penalty``."""
+    cut = importance.agg(F.percentile("importance", F.lit(quantile)).alias("cut")).select("cut").scalar()
+    chosen = importance.where(F.col("importance") > cut).agg(F.collect_set("feature").alias("names")).select("names").scalar()
+    names = [c for c in current.columns if c not in keys]
+    present = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in names))) if names else F.array().cast("array<string>")
+    missing = F.size(F.array_except(chosen, present))
+    return current.select(*keys, missing.cast("bigint").alias("missing_features"), F.pow(F.lit(penalty), missing.cast("double")).alias("feature_confidence"))
+
+
 def model_confidence(preds: DataFrame, keys=("series", "date"), model: str = "model", pred: str = "pred",
-                     actual: str = "actual", expected_models: int = 3,
+                     actual: str = "actual", reliability: DataFrame | None = None,
                      max_deviation: float = MAX_MODEL_DEVIATION, history: int = 30,
                      default_accuracy: float = 0.8) -> DataFrame:
     """L3: agreement-based confidence per key.
 
     Disagreement is the population std of the model predictions relative to
-    their mean (so the 0.15 limit is scale-free). Each expected model input
-    missing at the key costs a factor 0.8; recent accuracy is the mean
+    their mean (so the 0.15 limit is scale-free). ``reliability`` is the table of
+    :func:`feature_reliability` (keys without a row, or no table: nothing is
+    missing); recent accuracy is the mean
     accuracy of the ensemble mean over the previous ``history`` keys of the
     series (0.8 when there is none).
     """
@@ -294,9 +310,14 @@ def model_confidence(preds: DataFrame, keys=("series", "date"), model: str = "mo
     g = g.withColumn("model_deviation", rel).withColumn("_acc", acc)
     w = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(-history, -1)
     g = g.withColumn("recent_accuracy", F.coalesce(F.avg("_acc").over(w), F.lit(default_accuracy)))
-    feat = F.pow(F.lit(0.8), (F.lit(expected_models) - F.col("_n")).cast("double"))
+    if reliability is None:
+        g = g.withColumn("missing_features", F.lit(0).cast("bigint")).withColumn("feature_confidence", F.lit(1.0))
+    else:
+        g = g.join(reliability.select(*keys, "missing_features", "feature_confidence"), keys, "left")
+    g = g.withColumn("missing_features", F.coalesce("missing_features", F.lit(0)))
+    feat = F.coalesce("feature_confidence", F.lit(1.0))
     raw = (1.0 - F.col("model_deviation") / max_deviation) * 0.4 + feat * 0.3 + F.col("recent_accuracy") * 0.3
     conf = F.when(F.col("model_deviation") > max_deviation, F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
-    return g.select(*keys, F.col("_n").alias("models"), "model_deviation", feat.alias("feature_confidence"),
+    return g.select(*keys, F.col("_n").alias("models"), "missing_features", "model_deviation", feat.alias("feature_confidence"),
                     "recent_accuracy", conf.alias("confidence"))

@@ -112,10 +112,10 @@ led AS (SELECT l.account, l.date, target, price, position, trade, costs, cash, c
 LEDGER_COLS = ["price", "costs", "cash", "equity", "realised_pnl"]
 
 
-@query("daily_ledger", "N7 N8", round_sql(LEDGER_SQL + "SELECT * FROM led", LEDGER_COLS))
+@query("daily_ledger", "N7 N8", round_sql(LEDGER_SQL + "SELECT * FROM led", LEDGER_COLS, 6))
 def q_daily_ledger(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(backtest.daily_ledger(fixtures.ledger_targets(t), capital=LEDGER_CAPITAL))
+    return round_doubles(backtest.daily_ledger(fixtures.ledger_targets(t), capital=LEDGER_CAPITAL), 6)
 
 
 LEDGER_METRICS_SQL = LEDGER_SQL + f""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paxcast.functions.stats import norm_cdf_sql
-from paxcast.operators import backtest, forecast, resample, signals
+from paxcast.operators import backtest, features, forecast, resample, signals
 from paxcast.plans.oracle_views import X6, X8, X13, with_
 from paxcast.plans.q_forecast import FORECAST_SQL, WEEKLY_SQL
 from paxcast.plans.oracle_views import X1
@@ -157,13 +158,18 @@ def _dow_factor_sql(d: str) -> str:
 
 
 _LIM = signals.RISK_LIMITS
+# A position is long YES, or short below the middle rung; its P&L is the move of its
+# quote since the week before. An account's
+# daily P&L is the sum over its rungs. STAKE is the share of the capital in a position.
+STAKE = 0.2
 STRATEGY_SQL = with_(X1, WEEKLY_SQL, X4_SQL, EXCEED_CTE, f"""s0 AS (
   SELECT series AS account, week_end, rung, CAST(week_end - 6 AS DATE) AS signal_date, yes_price AS price,
-         predicted_probability, 1.0 / (1.0 + uncertainty / prediction) AS confidence, volume, days_to_expiry
+         predicted_probability, 1.0 / (1.0 + uncertainty / prediction) AS confidence, volume, days_to_expiry,
+         (COALESCE(yes_price / LAG(yes_price) OVER (PARTITION BY series, rung ORDER BY week_end), 1.0) - 1.0) * CASE WHEN rung < 0 THEN -{STAKE} ELSE {STAKE} END AS position_pnl_pct
   FROM (SELECT *, 0.7 * normal_prob + 0.3 * historical_prob AS predicted_probability FROM ex) e),
 s1 AS (
   SELECT *, (predicted_probability - price) * {_month_factor_sql('signal_date')} * {_dow_factor_sql('signal_date')}
-            AS edge FROM s0),
+            AS edge, SUM(position_pnl_pct) OVER (PARTITION BY account, week_end) AS daily_pnl_pct FROM s0),
 s2 AS (
   SELECT *, abs(edge) > {signals.MIN_EDGE} AND confidence > {signals.CONFIDENCE_THRESHOLD} AS trade FROM s1),
 s3 AS (
@@ -176,44 +182,63 @@ s3 AS (
 s4 AS (
   SELECT *, COALESCE(SUM(CASE WHEN action0 <> 'hold' THEN 1 ELSE 0 END) OVER (
               PARTITION BY account, date_trunc('week', signal_date) ORDER BY rung
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weekly_positions
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weekly_positions,
+         daily_pnl_pct < -{_LIM['max_daily_loss']} AS daily_loss, days_to_expiry < {_LIM['min_time_to_expiry']} AS expiring,
+         position_pnl_pct < -{_LIM['max_position_loss']} AS position_loss
   FROM s3)""") + f"""
-SELECT account, week_end, rung, edge, CAST(weekly_positions AS BIGINT) AS weekly_positions,
-       CASE WHEN days_to_expiry < {_LIM['min_time_to_expiry']} THEN 'close' ELSE action0 END AS action,
-       CAST(CASE WHEN days_to_expiry < {_LIM['min_time_to_expiry']} OR weekly_positions >= {WEEKLY_CAP} THEN 0
-            ELSE size0 END AS BIGINT) AS size,
-       CASE WHEN days_to_expiry < {_LIM['min_time_to_expiry']} THEN 'Too close to expiry'
+SELECT account, week_end, rung, edge, daily_pnl_pct, position_pnl_pct, CAST(weekly_positions AS BIGINT) AS weekly_positions,
+       CASE WHEN daily_loss OR expiring OR position_loss THEN 'close' ELSE action0 END AS action,
+       CAST(CASE WHEN daily_loss OR expiring OR position_loss OR weekly_positions >= {WEEKLY_CAP} THEN 0 ELSE size0 END AS BIGINT) AS size,
+       CASE WHEN daily_loss THEN 'Daily loss limit hit'
+            WHEN expiring THEN 'Too close to expiry'
+            WHEN position_loss THEN 'Position loss limit hit'
             WHEN weekly_positions >= {WEEKLY_CAP} THEN 'Weekly position limit reached'
             WHEN action0 = 'hold' THEN 'Insufficient edge or confidence'
             ELSE 'Edge and confidence pass' END AS reason
 FROM s4"""
 
 
-@query("strategy_signals", "L4 L5 L6 L7", round_sql(STRATEGY_SQL, ["edge"]))
+@query("strategy_signals", "L4 L5 L6 L7", round_sql(STRATEGY_SQL, ["edge", "daily_pnl_pct", "position_pnl_pct"]))
 def q_strategy_signals(spark, sf_dir):
     t = Tables(spark, sf_dir)
     e = _exceedance(t)
+    before = F.lag("yes_price").over(Window.partitionBy("series", "rung").orderBy("week_end"))
     x = e.select(
         F.col("series").alias("account"), "week_end", "rung", F.date_sub("week_end", 6).alias("signal_date"),
         F.col("yes_price").alias("price"), "predicted_probability",
         (1.0 / (1.0 + F.col("uncertainty") / F.col("prediction"))).alias("confidence"), "volume", "days_to_expiry",
+        ((F.coalesce(F.col("yes_price") / before, F.lit(1.0)) - 1.0) * F.when(F.col("rung") < 0, -STAKE).otherwise(STAKE)).alias("position_pnl_pct"),
     )
+    x = x.withColumn("daily_pnl_pct", F.sum("position_pnl_pct").over(Window.partitionBy("account", "week_end")))
     s = signals.strategy_signals(x, account="account", ts="rung", risk_limits={"max_weekly_positions": WEEKLY_CAP})
-    return round_doubles(s.select("account", "week_end", "rung", "edge", "weekly_positions", "action", "size",
-                                  "reason"))
+    return round_doubles(s.select("account", "week_end", "rung", "edge", "daily_pnl_pct", "position_pnl_pct", "weekly_positions",
+                                  "action", "size", "reason"))
 
 
 # ---------------------------------------------------------------- L3
 
-CONF_SQL = with_(X8) + f""",
+FEATURES = ["day_of_week", "month", "is_weekend", "lag_1", "lag_7", "rolling_mean_7", "rolling_std_7"]
+CONF_SQL = with_(X8, """feat AS (
+  SELECT series, date, passengers AS target, CAST(isodow(date) - 1 AS BIGINT) AS day_of_week, CAST(month(date) AS BIGINT) AS month,
+         CAST(isodow(date) IN (6, 7) AS BIGINT) AS is_weekend, LAG(passengers, 1) OVER w AS lag_1, LAG(passengers, 7) OVER w AS lag_7,
+         CASE WHEN COUNT(passengers) OVER r7 = 7 THEN AVG(passengers) OVER r7 END AS rolling_mean_7,
+         CASE WHEN COUNT(passengers) OVER r7 = 7 THEN STDDEV_SAMP(passengers) OVER r7 END AS rolling_std_7
+  FROM x1 WINDOW w AS (PARTITION BY series ORDER BY date), r7 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
+                 "imp AS (" + " UNION ALL ".join(
+                     f"SELECT '{c}' AS feature, abs(corr(CAST({c} AS DOUBLE), target)) AS importance FROM feat" for c in FEATURES) + ")",
+                 """important AS (SELECT feature FROM imp WHERE importance > (SELECT quantile_cont(importance, 0.8) FROM imp))""",
+                 "rel AS (SELECT series, date, CAST(" + " + ".join(
+                     f"CASE WHEN {c} IS NULL AND '{c}' IN (SELECT feature FROM important) THEN 1 ELSE 0 END" for c in FEATURES)
+                 + " AS BIGINT) AS missing_features FROM feat)") + f""",
 g AS (SELECT series, date, STDDEV_POP(pred) AS sd, AVG(pred) AS mean_pred, COUNT(pred) AS n, FIRST(actual) AS actual
       FROM x8 GROUP BY 1, 2),
 h AS (SELECT *, sd / NULLIF(abs(mean_pred), 0) AS model_deviation,
              LEAST(GREATEST(1.0 - abs(mean_pred - actual) / actual, 0.0), 1.0) AS acc FROM g),
-k AS (SELECT *, COALESCE(AVG(acc) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
-                         0.8) AS recent_accuracy,
-             pow(0.8, CAST(3 - n AS DOUBLE)) AS feature_confidence FROM h)
-SELECT series, date, CAST(n AS BIGINT) AS models, model_deviation, feature_confidence, recent_accuracy,
+k AS (SELECT h.*, COALESCE(AVG(acc) OVER (PARTITION BY h.series ORDER BY h.date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+                         0.8) AS recent_accuracy, COALESCE(missing_features, 0) AS missing_features,
+             pow(0.8, CAST(COALESCE(missing_features, 0) AS DOUBLE)) AS feature_confidence
+      FROM h LEFT JOIN rel ON rel.series = h.series AND rel.date = h.date)
+SELECT series, date, CAST(n AS BIGINT) AS models, missing_features, model_deviation, feature_confidence, recent_accuracy,
        CASE WHEN model_deviation > {signals.MAX_MODEL_DEVIATION} THEN 0.0
             ELSE LEAST(1.0, GREATEST(0.0, (1.0 - model_deviation / {signals.MAX_MODEL_DEVIATION}) * 0.4
                                             + feature_confidence * 0.3 + recent_accuracy * 0.3)) END AS confidence
@@ -223,8 +248,14 @@ FROM k"""
 @query("model_confidence", "L3", round_sql(CONF_SQL, ["model_deviation", "feature_confidence", "recent_accuracy",
                                                       "confidence"]))
 def q_model_confidence(spark, sf_dir):
+    """A feature's importance is its absolute correlation with the target; rows early in a
+    series lack the lagged ones."""
     t = Tables(spark, sf_dir)
-    return round_doubles(signals.model_confidence(fixtures.model_predictions(t)))
+    current = features.training_matrix(fixtures.daily_counts(t), complete=False)
+    strength = current.agg(F.array(*(F.struct(F.lit(c).alias("feature"), F.abs(F.corr(F.col(c).cast("double"), "target")).alias("importance"))
+                                     for c in FEATURES)).alias("_f")).select(F.inline("_f"))
+    reliability = signals.feature_reliability(current.drop("target"), strength)
+    return round_doubles(signals.model_confidence(fixtures.model_predictions(t), reliability=reliability))
 
 
 # ---------------------------------------------------------------- L11
