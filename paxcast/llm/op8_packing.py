@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,10 @@ PIECES = "row long, doc_id long, start long, length long, doc_tokens long, ids_c
 DIGESTS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 #: Bytes of ids in an Arrow batch.
 BATCH_BYTES = 1 << 20
-#: Runs that may be one pre-token of more than this many characters are left to the
-#: tokenizer file's own library, whose merging doesn't slow down with their length.
-LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: Texts whose runs, of visible characters or of white space, are shorter than 2,000
+#: characters. Others are left to the tokenizer file's own library, whose merging
+#: doesn't slow down with the length of a pre-token.
+SHORT_RUNS = re.compile(r"\s{0,1999}+(?:\S{1,1999}+\s{1,1999}+)*+\S{0,1999}+")
 
 
 def id_width(path: str) -> int:
@@ -89,9 +91,9 @@ class Encoder:
             mergeable_ranks={bytes(letters[c] for c in word): i for word, i in vocab.items()}) if plain else None
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.ranked is None or any(word in text for word in self.added) or LONG_RUN.search(text):
+        if self.ranked is None or any(word in text for word in self.added) or not SHORT_RUNS.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(array("I", self.ranked.encode_ordinary(text)), np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
