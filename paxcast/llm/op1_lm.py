@@ -38,7 +38,9 @@ from paxcast.llm import common, eliasfano
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 BEFORE_BITS = np.uint64(40)  # bits of the hash of the word before, under its word
 WORD_LOW = np.uint64(48)
-BLOCK_TOKENS = 600_000
+BLOCK_TOKENS = 300_000
+#: Text bytes turned into tokens at a time, and bytes of postings handed on at a time.
+TEXT_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 SHARD_TOKENS = 2_500_000
 HOT_SHARE = 16
 LEVELS = 256
@@ -49,7 +51,7 @@ def token_runs(batches, limit: int):
     the hashes before them, the row of each, and the rows' columns."""
     held: list = []
     size = 0
-    for chunk in common.chunks(batches):
+    for chunk in common.chunks(batches, limit=TEXT_BYTES):
         words = common.Words(chunk, lower=True)
         n = len(chunk)
         tokens = np.empty(len(words.hashes) + n, np.uint64)
@@ -134,6 +136,10 @@ def postings(source: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     """Per block and shard the distinct pairs, sorted by word and word before,
     with training counts and the rows they stand in."""
 
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out["shard"], pa.int32()), *(pa.array(out[name], pa.binary()) for name in PACKED)], names=list(out))
+
     def run(batches):
         for tokens, before, rows, keys, training in token_runs(batches, BLOCK_TOKENS):
             words, word = np.unique(tokens, return_inverse=True)
@@ -148,7 +154,9 @@ def postings(source: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
             shard, pair, word, prior, rows = shard[order], pair[order], word[order], prior[order], rows[order]
             learnt = training[rows]
             cuts = np.searchsorted(shard, np.arange(shards + 1))
+            del tokens, before, order, spread
             out: dict[str, list] = {name: [] for name in ("shard", *PACKED)}
+            held = 0
             for s in range(shards):
                 lo, hi = cuts[s], cuts[s + 1]
                 if lo == hi:
@@ -164,8 +172,12 @@ def postings(source: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
                 out["shard"].append(s)
                 for name, kind in PACKED.items():
                     out[name].append(arrays[name].astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["shard"], pa.int32()), *(pa.array(out[name], pa.binary()) for name in PACKED)], names=list(out))
+                    held += len(out[name][-1])
+                if held >= BATCH_BYTES:
+                    yield batch_of(out)
+                    out, held = {name: [] for name in out}, 0
+            if held:
+                yield batch_of(out)
 
     return source.mapInArrow(run, "shard int, " + ", ".join(f"{name} binary" for name in PACKED))
 
