@@ -41,7 +41,7 @@ WORD_LOW = np.uint64(48)
 BLOCK_TOKENS = 300_000
 #: Text bytes turned into tokens at a time, and bytes of postings handed on at a time.
 TEXT_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 2_000_000
 HOT_SHARE = 16
 LEVELS = 256
 
@@ -249,6 +249,27 @@ class Trie:
         return counts, norm, logs
 
 
+def before_of(block: dict) -> np.ndarray:
+    """The hashes of the words before, of a block's pairs."""
+    return block["more"].astype(np.uint64) << np.uint64(32) | block["low"]
+
+
+def learnt_pairs(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, words before and counts of a shard's training pairs, sorted, each pair
+    once. A pair is sorted as one number: its word's place and the 40 bits below it."""
+    used = [b["train"] > 0 for b in blocks]
+    owner = [np.repeat(np.arange(len(b["words"]), dtype=np.int32), b["per_word"])[u] for b, u in zip(blocks, used, strict=True)]
+    names = np.unique(np.concatenate([b["words"][np.unique(o)] for b, o in zip(blocks, owner, strict=True)]))
+    if len(names) >= 1 << 24:
+        raise ValueError("a shard has too many words; take fewer tokens a shard")
+    key = np.concatenate([
+        np.searchsorted(names, b["words"])[o].astype(np.uint64) << BEFORE_BITS | before_of(b)[u] for b, o, u in zip(blocks, owner, used, strict=True)])
+    counts = np.concatenate([b["train"][u] for b, u in zip(blocks, used, strict=True)])
+    del owner, used
+    key, counts = totals(key, counts)
+    return names[key >> BEFORE_BITS], key & np.uint64((1 << int(BEFORE_BITS)) - 1), counts.astype(np.int64)
+
+
 SUMS = {"tokens": np.uint32, "known": np.uint32, "copies": np.uint32, "log_counts": np.float64, "logs": np.float64}
 
 
@@ -257,22 +278,12 @@ def shard_sums(packed: DataFrame, corpus: dict, hot: dict[int, int], buckets: in
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         blocks = [{name: np.frombuffer(row[name], kind) for name, kind in PACKED.items()} for row in frame.to_dict("records")]
-        for b in blocks:
-            b["prior"] = b["more"].astype(np.uint64) << np.uint64(32) | b["low"]
-        learnt = [b["train"] > 0 for b in blocks]
-        words = np.concatenate([np.repeat(b["words"], b["per_word"])[used] for b, used in zip(blocks, learnt, strict=True)])
-        prior = np.concatenate([b["prior"][used] for b, used in zip(blocks, learnt, strict=True)])
-        counts = np.concatenate([b["train"][used] for b, used in zip(blocks, learnt, strict=True)]).astype(np.int64)
-        order = np.lexsort((prior, words))
-        words, prior, counts = words[order], prior[order], counts[order]
-        if len(words):
-            first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (prior[1:] != prior[:-1])]))
-            words, prior, counts = words[first], prior[first], np.add.reduceat(counts, first)
+        words, prior, counts = learnt_pairs(blocks)
         trie = Trie(words, prior, counts, corpus, hot)
-        del words, prior, counts, order, learnt
+        del words, prior, counts
         keys, sums = [], {name: [] for name in SUMS}
         for b in blocks:
-            seen, norm, logs = trie.answer(b["words"], b["per_word"].astype(np.int64), b["prior"])
+            seen, norm, logs = trie.answer(b["words"], b["per_word"].astype(np.int64), before_of(b))
             last = b["words"] == END
             norm = np.where(last, 0.0, norm)  # nothing follows the end
             owner = np.repeat(np.repeat(np.arange(len(b["words"])), b["per_word"]), b["per_pair"])
