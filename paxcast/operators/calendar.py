@@ -103,3 +103,26 @@ def _attach(days: DataFrame, hol: DataFrame) -> DataFrame:
         F.month("date").isin(*WINTER_MONTHS).cast("int").alias("is_winter"),
         (~F.month("date").isin(*(SUMMER_MONTHS + WINTER_MONTHS))).cast("int").alias("is_shoulder_season"),
     )
+
+
+def with_calendar(df: DataFrame, date: str = "date", first_year: int = 1900, last_year: int = 2200) -> DataFrame:
+    """D1-D5 as columns of ``df``, without another look at its dates.
+
+    The holidays of ``first_year`` to ``last_year`` are one small map from a year to
+    its dates, a scalar of the plan; a row looks only at its own and the next year's.
+    """
+    years = df.sparkSession.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    days = holidays(years).select("holiday_date").distinct()
+    lists = days.groupBy(F.year("holiday_date").alias("y")).agg(F.array_sort(F.collect_list("holiday_date")).alias("d"))
+    every = lists.agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("m")).select("m").scalar()
+    day, none = F.col(date), F.array().cast("array<date>")
+    near = F.concat(*(F.coalesce(F.try_element_at(every, F.year(day) + k), none) for k in (0, 1)))
+    x = df.withColumn("_near", near)
+    later = F.get(F.filter("_near", lambda h: h > day), F.lit(0))
+    month = F.month(day)
+    return x.select(
+        *df.columns, F.weekday(day).alias("day_of_week"), F.dayofmonth(day).alias("day_of_month"), month.alias("month"),
+        F.weekday(day).isin(5, 6).cast("int").alias("is_weekend"), F.array_contains("_near", day).cast("int").alias("is_holiday"),
+        F.coalesce(F.datediff(later, day), F.lit(365)).alias("days_to_holiday"),
+        month.isin(*SUMMER_MONTHS).cast("int").alias("is_summer"), month.isin(*WINTER_MONTHS).cast("int").alias("is_winter"),
+        (~month.isin(*(SUMMER_MONTHS + WINTER_MONTHS))).cast("int").alias("is_shoulder_season"))

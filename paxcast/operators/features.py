@@ -26,18 +26,21 @@ def lag_features(df: DataFrame, columns=("passengers",), lags=DEFAULT_LAGS, key:
 
 def feature_matrix(daily: DataFrame, processed_weather: DataFrame | None = None,
                    processed_fares: DataFrame | None = None, key: str = "series", date: str = "date",
-                   value: str = "passengers", lags=DEFAULT_LAGS) -> DataFrame:
+                   value: str = "passengers", lags=DEFAULT_LAGS, fares: DataFrame | None = None) -> DataFrame:
     """calendar + weather + fare + lag features for every ``(key, date)``.
 
-    Per-date feature tables are left-joined on ``date``; they hold one row per
-    day, so AQE broadcasts them when small and shuffles otherwise.
+    The calendar is a map looked up by row. Per-date feature tables are left-joined
+    on ``date``; they hold one row per day, so AQE broadcasts them when small and
+    shuffles otherwise. Fares come processed (C6, C7) or, read once, as they are
+    (``fares``).
     """
     base = lag_features(daily.select(key, date, value), (value,), lags, key, date)
-    cal = calendar.calendar_dim(daily.select(date), date)
-    out = base.join(cal, date, "left")
+    out = calendar.with_calendar(base, date)
     if processed_weather is not None:
         out = out.join(aggregates.weather_features(processed_weather, date), date, "left")
-    if processed_fares is not None:
+    if fares is not None:
+        out = out.join(aggregates.fare_features(fares, date=date), date, "left")
+    elif processed_fares is not None:
         out = out.join(aggregates.airline_features(processed_fares, date), date, "left")
     return out
 

@@ -179,16 +179,16 @@ FROM lagged l LEFT JOIN cal c ON l.date = c.date LEFT JOIN wf ON l.date = wf.dat
 LEFT JOIN af ON l.date = af.date"""
 
 
-@query("feature_matrix", "F2", round_sql(FM_SQL, ["passengers", *LAG_COLS, *WF_COLS, *AF_COLS]))
+@query("feature_matrix", "F2", round_sql(FM_SQL, ["passengers", *LAG_COLS, *WF_COLS, *AF_COLS], 6))
 def q_feature_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
     fm = features.feature_matrix(
         fixtures.daily_counts(t),
         processed_weather=clean.process_weather(fixtures.weather(t)),
-        processed_fares=clean.process_fares(fixtures.fares(t)),
+        fares=fixtures.fares(t),
         lags=LAGS,
     )
-    return round_doubles(fm)
+    return round_doubles(fm, 6)
 
 
 TM_SQL = with_(X1) + """

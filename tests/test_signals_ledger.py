@@ -71,3 +71,26 @@ def test_average_cost_matches_a_walk(spark):
     got = {(r.account, (r.date - dt.date(2020, 1, 1)).days): r.realised_pnl for r in led.collect()}
     assert {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
     assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v is not None)
+
+
+def test_fares_in_one_pass_equal_the_processed_ones(spark):
+    from paxcast.operators import aggregates, clean
+
+    rng = random.Random(3)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i % 9)
+    rows = [(f"r{i % 4}", day(rng.randint(0, 50)), rng.choice([None, rng.uniform(50, 90)]), rng.choice([None, float(rng.randint(0, 200))])) for i in range(400)]
+    rows += [("flat", day(i), 10.1, 0.0) for i in range(9)] + [("one", day(2), 7.0, 3.0)]
+    df = spark.createDataFrame(rows, "route string, date date, price double, capacity double")
+    want = {r.date: tuple(r)[1:] for r in aggregates.airline_features(clean.process_fares(df)).collect()}
+    got = {r.date: tuple(r)[1:] for r in aggregates.fare_features(df).collect()}
+    assert got.keys() == want.keys()
+    for d in want:
+        assert got[d] == pytest.approx(want[d], rel=1e-9, nan_ok=True)
+
+
+def test_calendar_columns_equal_the_dimension(spark):
+    from paxcast.operators import calendar
+
+    df = spark.createDataFrame([(dt.date(2018, 12, 20) + dt.timedelta(days=i),) for i in range(0, 1500)], "date date")
+    want = {r.date: tuple(r) for r in calendar.calendar_dim(df).collect()}
+    assert {r.date: tuple(r) for r in calendar.with_calendar(df).collect()} == want
