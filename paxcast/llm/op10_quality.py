@@ -91,28 +91,32 @@ def repeated_words(words: common.Words, n: int) -> np.ndarray:
     return np.bincount(words.rows[np.cumsum(cover[:-1]) > 0], minlength=n)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row of statistics for each document row; whole texts."""
+def measure(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """One row of statistics for each document row; whole texts. ``carry`` names a
+    string column that goes along."""
+    own = [carry] if carry else []
 
     def run(batches):
         for chunk in common.chunks(batches):
             found = statistics(chunk)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), chunk.column("lang"), chunk.column("source"), *(pa.array(v.astype(np.int64)) for v in found.values())],
-                names=["doc_id", "lang", "source", *found])
+                [chunk.column("doc_id"), chunk.column("lang"), chunk.column("source"), *(pa.array(v.astype(np.int64)) for v in found.values()), *map(chunk.column, own)],
+                names=["doc_id", "lang", "source", *found, *own])
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", "source", "text").mapInArrow(run, SCHEMA)
+    schema = SCHEMA + "".join(f", {c} string" for c in own)
+    return docs.select(F.col("doc_id").cast("long"), "lang", "source", "text", *own).mapInArrow(run, schema)
 
 
 #: Statistics judged adaptively: name, expression, the side on which a value is
-#: suspect, and the least spread taken for a group (so that a group of equal
-#: values doesn't reject the slightest difference).
+#: suspect, and the least spread taken for a group, on the rule's own scale (so that a
+#: group of equal values doesn't reject the slightest difference). Word lengths are
+#: compared by their logarithms: a text of letters is as far off as one of long junk.
 RULES = (
-    ("mean_word", "try_divide(word_chars, n_words)", "both", 1.0),
-    ("symbol_share", "try_divide(n_symbols, n_words)", "high", 0.05),
-    ("dup_line_share", "try_divide(n_dup_lines, n_words)", "high", 0.02),
-    ("repeat_share", "try_divide(n_repeat_words, n_words)", "high", 0.10),
-    ("echo_share", "try_divide(n_echoes, n_words)", "high", 0.05),
+    ("mean_word", "ln(try_divide(word_chars, n_words))", "both", 0.06),
+    ("symbol_share", "try_divide(n_symbols, n_words)", "high", 0.02),
+    ("dup_line_share", "try_divide(n_dup_lines, n_words)", "high", 0.01),
+    ("repeat_share", "try_divide(n_repeat_words, n_words)", "high", 0.04),
+    ("echo_share", "try_divide(n_echoes, n_words)", "high", 0.015),
 )
 
 
@@ -139,15 +143,16 @@ def limits(groups: DataFrame, prefix: str, spread: float) -> DataFrame:
     return out.drop(*(name for name, *_ in RULES))
 
 
-def quality_rules(docs: DataFrame, spread: float = 6.0, min_group: int = 50, k: int = 400) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 6.0, min_group: int = 50, k: int = 400, carry: str | None = None) -> DataFrame:
     """Statistics, base rule and adaptive verdict of every document.
 
     ``spread``: how many inter-quartile ranges beyond the quartiles are normal;
     ``min_group``: documents a (language, source) needs for limits of its own,
     below that the language's, then the whole corpus's limits hold;
-    ``k``: size of the KLL sketches (rank error about 2.3 / k).
+    ``k``: size of the KLL sketches (rank error about 2.3 / k);
+    ``carry``: a string column that goes along with each row's verdict.
     """
-    measured = common.materialise(measure(docs))
+    measured = common.materialise(measure(docs, carry))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     groups = common.materialise(sketches(measured, k))
     own = limits(groups, "own", spread)
@@ -167,4 +172,5 @@ def quality_rules(docs: DataFrame, spread: float = 6.0, min_group: int = 50, k:
             outside = outside | (value < F.col(f"{name}_low"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(outside, F.lit(False))).alias("kept"))
+        base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(outside, F.lit(False))).alias("kept"),
+        *([carry] if carry else []))

@@ -203,8 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_limit: int = 1600, ordinary_
     return fit(*training_sample(docs, labels, toxic_limit, ordinary_limit, fit_bytes))
 
 
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
-    """Probability of label 1 and the prediction for every row."""
+def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, carry: str | None = None) -> DataFrame:
+    """Probability of label 1 and the prediction for every row; ``carry`` names a
+    string column that goes along."""
+    own = [carry] if carry else []
 
     def run(batches):
         rate = scorer(model) if model else lambda text: 0.0
@@ -213,8 +215,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFr
                 part = batch.slice(at, 1000)
                 scores = np.array([rate(t or "") for t in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))],
-                    names=["doc_id", "held_out", "score", "predicted"])
+                    [part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *([part.column(3)] if own else [])],
+                    names=["doc_id", "held_out", "score", "predicted", *own])
 
-    return docs.select(F.col("doc_id").cast("long"), common.held_out("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), common.held_out("doc_id", 4, 2).alias("held_out"), "text", *own).mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {c} string" for c in own))

@@ -79,3 +79,42 @@ def test_line_ends(spark, tail):
     texts = ["one two\none two" + tail, "x" + tail]
     got = [tuple(r)[1:6] for r in op10_quality.quality_rules(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == [brute(t) for t in texts]
+
+
+def prose(i, n=60, length=4):
+    return " ".join("".join(chr(97 + (i * 31 + j * 17 + k * 7) % 26) for k in range(length + (j + i) % 3)) for j in range(n))
+
+
+PLANTED = {
+    "mean_word, short": " ".join(chr(97 + (i * i * i + i // 26 * 5) % 25) for i in range(25)) + " " + " ".join(chr(65 + (i * 7) % 26) for i in range(26)),
+    "mean_word, long": prose(3, length=30),
+    "symbol_share": prose(5) + " # $ % | < > # $ % |",
+    "dup_line_share": "\n".join([prose(7, 12), "short line here"] + [f"{prose(k, 4)}\nshort line here" for k in range(8, 14)]),
+    "repeat_share": prose(9, 58) + " " + " ".join(prose(9, 58).split()[:8]),
+    "echo_share": prose(11, 40) + " aa aa bb bb cc cc dd dd ee ee ff ff gg gg",
+}
+
+
+@pytest.mark.parametrize("rule", sorted(PLANTED))
+def test_each_rule_rejects_what_the_base_rule_keeps(spark, rule):
+    docs = frame(spark, [prose(100 + i, 50 + i % 30) for i in range(80)] + [PLANTED[rule]])
+    got = {r.doc_id: r for r in op10_quality.quality_rules(docs).collect()}
+    assert not got[80].base_failed and not got[80].kept
+    assert all(r.kept for i, r in got.items() if i < 80)
+
+
+def test_limits_differ_by_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = op10_quality.common.materialise(op10_quality.measure(docs))
+    limits = op10_quality.limits(op10_quality.sketches(measured, 400), "own", 6.0).collect()
+    for column in ("own_mean_word_low", "own_mean_word_high", "own_echo_share_high"):
+        assert len({round(r[column], 6) for r in limits}) > len(limits) // 2
+
+
+def test_good_documents_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    r = op10_quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(
+        F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    share = {x.quality: x.kept for x in r}
+    assert share[1] > 0.99 and share[0] < 0.05

@@ -10,15 +10,15 @@ from paxcast.llm import graph, op7_minhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, width=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return set()
-    return {tuple(words[i:i + 3]) for i in range(len(words) - 2)} or {tuple(words)}
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
 
 
-def brute(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=85, width=3):
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):

@@ -30,7 +30,7 @@ def test_stages_take_effect_and_feed_each_other(spark):
     assert second.columns == COLUMNS and {r[0] for r in rows(second)} == fine
 
     third = stages["minhash_near_dedup"](spark, second, DIR)
-    want = {r[0] for r in test_op7_minhash.brute(rows(second)) if r[3]}
+    want = {r[0] for r in test_op7_minhash.brute(rows(second), corpus_pipeline.PERCENT, corpus_pipeline.WIDTH) if r[3]}
     assert sorted(third.columns) == sorted(COLUMNS) and {r[0] for r in rows(third)} == want
 
     fourth = stages["suffix_array_dedup"](spark, third, DIR)
@@ -78,3 +78,35 @@ def test_near_dedup_drops_true_repeats_only(spark):
     (e,) = [r for r in got if (r[1] or "").startswith("e")]  # one of the near copies without an id
     assert e in table and got == sorted(
         [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), e, (3, text("f")), (None, ""), (None, None), (8, None)], key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+PLAIN = " ".join(f"word{i} and more" for i in range(40))
+JUNK = "spam spam " * 60
+
+
+def test_a_verdict_holds_for_its_own_row(spark):
+    docs = spark.createDataFrame([(None, PLAIN, "en", "s", 1), (None, JUNK, "en", "s", 1), (5, JUNK, "en", "s", 1), (5, PLAIN + " end", "en", "s", 1)], SCHEMA)
+    got = corpus_pipeline.quality(spark, docs, DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, PLAIN), (5, PLAIN + " end")], key=str)
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["spans", "_key", "_kept", "_row", "kept", "predicted", "component_id", "carried_0", "text_key", "row"]
+    docs = spark.createDataFrame([(i, PLAIN + f" tail{i} " * (i + 1) * 30, "en", "s", 1) for i in range(3)], SCHEMA)
+    docs = docs.select(*(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names), *docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    assert corpus_pipeline.packing(spark, docs, DIR).count() >= 3
+
+
+def test_a_very_long_text_passes_whole(spark):
+    long = " ".join(f"w{i}x{i * 7919 % 10007}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, PLAIN, "en", "s", 1)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+    totals = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert totals == {1: len(test_op8_packing.library()(long)) + 1, 2: len(test_op8_packing.library()(PLAIN)) + 1}
