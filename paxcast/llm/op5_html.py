@@ -4,8 +4,11 @@ Each page becomes a small tree. Blocks of text give points for their length and
 commas to the containers above them, in full to the parent, half to the next,
 less further up; a container's sum is discounted by its share of linked text.
 The best container is kept, widened to the article that holds it, with siblings
-that score well enough. What stands in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments takes no part.
+that score well enough, paragraphs beside it and the heading that leads it. What
+stands in menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments takes no part. Words of class names that articles use too (a dinner's
+menu, a storm alert) set aside only what is mostly links, if it lies inside an
+article or is itself a heading, a paragraph or the like.
 
 Defined cases: a null or empty html, and one without text, give an empty text;
 unclosed, crossed and cut-off tags are closed as browsers do in the common
@@ -37,6 +40,12 @@ WORDS = frozenset((
     "consent gdpr notice popup modal overlay sidebar aside comment comments commentlist disqus respond replies share "
     "sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer masthead pagination "
     "pager newsletter subscribe subscription signup login toolbar widget skip hidden alert").split())
+#: Those of them that name containers, and texts, of articles as well.
+DOUBTFUL_PARTS, DOUBTFUL_TEXTS = frozenset(["menu"]), frozenset(["menu", "alert", "skip"])
+#: Elements that are text themselves rather than a part of the page.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th tr figure figcaption caption".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ENDED = re.compile(r"[.!?\u2026][\"'\u2019\u201d\u00bb)]*$")
 #: Words of names that say what an element lies beside or without, not what it is.
 ABOUT = frozenset("has have with without no".split())
 #: Words of names of main text; one such class outweighs others ("main-content has-sidebar").
@@ -51,32 +60,39 @@ TOKENS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "content", "points", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, content: bool = False):
+        self.tag, self.parent, self.dropped, self.content = tag, parent, dropped, content
         self.children: list = []  # nodes and texts in page order
         self.points, self.size, self.linked = 0.0, 0, 0
 
 
+def named(attributes) -> list[list[str]]:
+    """The words of each class and of the id."""
+    return [TOKENS.findall(part) for name, value in attributes if name in ("class", "id") for part in (value or "").lower().split()]
+
+
 def set_aside(tag: str, attributes) -> bool:
-    """Whether an element holds something else than main text."""
+    """Whether an element holds something else than main text, whatever it says."""
     if tag in DROPPED:
         return True
-    if tag in ("html", "body", "main") or not attributes:
+    if tag in ("html", "body", "main"):
         return False
-    names = []
     for name, value in attributes:
         value = (value or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id"):
-            names += [TOKENS.findall(part) for part in value.split()]
-    aside = [not WORDS.isdisjoint(words) for words in names]
-    return any(a and ABOUT.isdisjoint(words) for a, words in zip(aside, names, strict=True)) and not any(
-        not a and not CONTENT.isdisjoint(words) for a, words in zip(aside, names, strict=True))
+    return False
+
+
+def other_part(names: list[list[str]], words: frozenset) -> bool:
+    """Whether one of the names has one of the words and no other name speaks for main text."""
+    aside = [not WORDS.isdisjoint(name) for name in names]
+    return any(not words.isdisjoint(name) and ABOUT.isdisjoint(name) for name in names) and not any(
+        not a and not CONTENT.isdisjoint(name) for a, name in zip(aside, names, strict=True))
 
 
 class Tree(HTMLParser):
@@ -85,6 +101,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None, False)
+        self.doubtful: list[Node] = []
 
     def handle_starttag(self, tag, attributes):
         if tag not in INLINE:
@@ -97,7 +114,17 @@ class Tree(HTMLParser):
             return
         # A page's header is set aside; one inside an article holds its title.
         dropped = self.at.dropped or set_aside(tag, attributes) or tag == "header" and not self.inside("article")
-        node = Node(tag, self.at, dropped)
+        names = named(attributes) if tag not in ("html", "body", "main") and not dropped else []
+        doubt = False
+        if names and other_part(names, WORDS):
+            doubtful = DOUBTFUL_TEXTS if tag in TEXTUAL else DOUBTFUL_PARTS if self.at.content else frozenset()
+            doubt = not other_part(names, WORDS - doubtful)
+            dropped = not doubt
+        content = not dropped and (self.at.content or tag in ("article", "main") or any(
+            WORDS.isdisjoint(name) and not CONTENT.isdisjoint(name) for name in names))
+        node = Node(tag, self.at, dropped, content)
+        if doubt:
+            self.doubtful.append(node)
         self.at.children.append(node)
         self.at = node
 
@@ -136,6 +163,9 @@ def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     HTMLParser.close(tree)
+    for node in reversed(tree.doubtful):
+        own = blocks(node)
+        node.dropped = 2 * sum(linked for _, _, linked in own) >= sum(len(text) for _, text, _ in own)
     return tree.root
 
 
@@ -182,7 +212,7 @@ def main_text(html: str) -> str:
     scored = {}
     for owner, text, linked in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        if owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th"):
+        if owner.tag in (*HEADINGS, "th"):
             points = 0.5
         holder = owner if owner.tag in ("div", "section", "article", "main", "body", "#root") else owner.parent
         level, node = 0, holder
@@ -202,26 +232,40 @@ def main_text(html: str) -> str:
     if article is not None:
         best = article
     kept = [best]
-    if best.parent is not None and best.tag not in ("body", "article", "main"):
+    if best.parent is not None and best.tag not in ("body", "main"):
         least = max(10.0, 0.2 * worth(best))
-        kept = [
-            s for s in best.parent.children if isinstance(s, Node) and not s.dropped and (
-                s is best or id(s) in scored and worth(s) >= least or s.tag == "p" and prose(s))]
-    chosen, inside = {id(n) for n in kept}, []
-    for owner, text, _ in found:
+        beside = [s for s in best.parent.children if isinstance(s, Node) and not s.dropped and s is not best]
+        if best.tag == "article":
+            beside = [s for s in beside if s.tag == "article"]
+        kept += [s for s in beside if id(s) in scored and worth(s) >= least or s.tag == "p" and prose(s)]
+    chosen = {id(n) for n in kept}
+    within = []
+    for owner, _, _ in found:
         node = owner
         while node is not None and id(node) not in chosen:
             node = node.parent
-        if node is not None:
-            inside.append(text)
-    return "\n".join(inside)
+        within.append(node is not None)
+    first = within.index(True)
+    for i in range(lead(found, first), first):
+        within[i] = True
+    return "\n".join(text for (_, text, _), inside in zip(found, within, strict=True) if inside)
+
+
+def lead(found: list, first: int) -> int:
+    """Where the headings start that lead the block at ``first``: those right before
+    it that are hardly linked."""
+    at = first
+    while at and found[at - 1][0].tag in HEADINGS and 2 * found[at - 1][2] < len(found[at - 1][1]):
+        at -= 1
+    return at
 
 
 def prose(node: Node) -> bool:
-    """A paragraph beside the best container that is long and hardly linked."""
+    """A paragraph beside the best container: long and hardly linked, or a sentence
+    without a link."""
     own = blocks(node)
-    size = sum(len(text) for _, text, _ in own)
-    return size > 80 and sum(linked for _, _, linked in own) < 0.25 * size
+    size, linked = sum(len(text) for _, text, _ in own), sum(linked for _, _, linked in own)
+    return linked < 0.25 * size if size > 80 else bool(own) and not linked and bool(ENDED.search(own[-1][1]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -72,3 +72,34 @@ def test_names_that_only_mention_other_parts():
         assert main_text(f'<body><div class="{names}">{body}</div><div class="post-comments"><p>{PROSE}</p></div></body>') == wanted
     for names in ("article-comments", "content-ad", "main-menu", "cookie-notice", "sidebar", "user-comments list"):
         assert main_text(f'<body><div>{body}</div><div class="{names}">{body}</div></body>') == wanted
+
+
+def test_headings_beside_or_before_the_best_container_stay():
+    body = f"<div><p>{PROSE}</p><p>{PROSE}</p></div>"
+    wanted = f"Title\n{PROSE}\n{PROSE}"
+    assert main_text(f"<body><h1>Title</h1>{body}</body>") == wanted
+    assert main_text(f"<body><div><h1>Title</h1></div>{body}</body>") == wanted
+    assert main_text(f"<body><header><h1>Site</h1></header><h1>Title</h1><article>{body}</article></body>") == wanted
+    assert main_text(f"<body><h1><a href=/>Site name</a></h1>{body}</body>") == f"{PROSE}\n{PROSE}"
+
+
+def test_short_paragraph_beside_the_best_container_stays():
+    body = f"<div><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert main_text(f"<body>{body}<p>It rained.</p></body>") == f"{PROSE}\n{PROSE}\nIt rained."
+    assert main_text(f"<body>{body}<p><a href=x>Read more.</a></p></body>") == f"{PROSE}\n{PROSE}"
+
+
+def test_words_of_names_inside_an_article_set_aside_only_links():
+    links = "<a href=1>Home page</a> <a href=2>All news</a>"
+    for part, text in (("<h2 class='skip-level'>Next</h2>", "Next"), ("<p class='storm-alert'>Stay in, all of you.</p>", "Stay in, all of you."),
+                       ("<div class='menu'><p>Soup, bread</p></div>", "Soup, bread")):
+        assert main_text(f"<body><article><p>{PROSE}</p>{part}<p>{PROSE}</p></article></body>") == f"{PROSE}\n{text}\n{PROSE}"
+    for part in (f"<div class='menu'>{links}</div>", f"<p class='skip'>{links}</p>", "<div class='ad'>Buy, buy</div>", "<div class='alert'>Update your app.</div>", "<div class='share'>Share</div>",
+                 f"<section class='comments'><p>{PROSE}</p></section>", "<div role='alert'>Alert, alert</div>"):
+        assert main_text(f"<body><article><p>{PROSE}</p>{part}<p>{PROSE}</p></article></body>") == f"{PROSE}\n{PROSE}"
+
+
+def test_articles_beside_the_best_stay_if_they_score():
+    long, short = f"<p>{PROSE}</p>" * 5, f"<p>{PROSE}</p>" * 4
+    page = f"<body><article>{long}</article><article>{short}</article><article><a href=x>{PROSE}</a></article></body>"
+    assert main_text(page) == "\n".join([PROSE] * 9)
