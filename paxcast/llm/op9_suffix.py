@@ -17,10 +17,16 @@ work is cut so that strings which may be equal meet in one task:
   a range minimum over the common prefixes. Two neighbours with a common prefix of
   200 or more are a repeat. The rounds are bounded by the stretch's length (at
   most 367 bytes), not by the documents'.
+* An anchor with more different stretches than ``LARGEST`` (a task's worth) is split
+  by more context first: strings whose distance from the anchor lies in one band of a
+  width share all but width - 1 of their bytes, so stretches are cut at the bands and
+  only pieces of one band with equal shared bytes stay together; pieces that are equal
+  as a whole are settled there, one of each going on. Widths are halved while a group
+  is too large; at width 1 a group is one string. Every piece is then compared column
+  by column like any stretch.
 
 The tables between these steps are files in the shared folder, read and written
-sequentially. An anchor with more different stretches than ``LARGEST`` is settled
-by counting the hashes of its 200-byte strings.
+sequentially.
 
 Defined cases: a null or empty text has no bytes and nothing to remove; texts
 under 200 bytes keep all; rows with equal ids are judged by their texts; an empty
@@ -31,10 +37,12 @@ beside an equal anchor hash) are taken for equal strings.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +53,9 @@ PLACE_BITS = np.int64((1 << 31) - 1)
 #: Stretches that a column-wise task holds on average, and of one anchor at most.
 TASK_STRETCHES = 8192
 LARGEST = 32768
+#: An anchor is heavy if it has more than one in ``HEAVY`` of all stretches; so there
+#: are fewer than ``HEAVY`` of them, whatever the input.
+HEAVY = 1000
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -185,38 +196,74 @@ def runs(mask: np.ndarray):
     return rows, first, beyond - 1
 
 
-def compared(contents: DataFrame, tasks: int, span: int) -> DataFrame:
+def compared(pieces: DataFrame, tasks: int, span: int) -> DataFrame:
     """(anchor, content, first, last): repeated starts of each stretch, from the
-    column-wise construction over buckets of anchors."""
+    column-wise construction over buckets of groups."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        _, group = np.unique(frame["anchor"].to_numpy(), return_inverse=True)
+        _, group = np.unique(frame["part"].to_numpy(), return_inverse=True)
         texts = [bytes(t) for t in frame["bytes"]]
         found = repeated_starts(group, texts, frame["lead"].to_numpy(), frame["count"].to_numpy(), span)
         rows, first, last = runs(found)
+        shift = frame["shift"].to_numpy()[rows]
         return pd.DataFrame({
             "anchor": frame["anchor"].to_numpy()[rows], "content": frame["content"].to_numpy()[rows],
-            "first": first.astype(np.int32), "last": last.astype(np.int32)})
+            "first": (first + shift).astype(np.int32), "last": (last + shift).astype(np.int32)})
 
-    bucket = F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(tasks))
-    return contents.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "anchor long, content long, first int, last int")
+    bucket = F.pmod(F.xxhash64("part", F.lit(9)), F.lit(tasks))
+    return pieces.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "anchor long, content long, first int, last int")
 
 
-def counted(contents: DataFrame, span: int) -> DataFrame:
-    """The same for anchors of very many stretches: hashes of their strings."""
+PIECE = "part long, anchor long, content long, shift int, count int, lead int, bytes binary"
+
+
+def cut_at_bands(pieces: DataFrame, width: int, span: int) -> DataFrame:
+    """The pieces cut where their starts' distance from the anchor passes a multiple of
+    ``width``; ``part`` is then of the band and the bytes that all its strings share,
+    ``own`` of the whole piece and its place."""
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        names = [f.split()[0] for f in PIECE.split(", ")] + ["own"]
         for batch in batches:
-            for anchor, content, count, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                at = np.arange(count)
-                hashes = common.segment_hashes(np.frombuffer(text, np.uint8), at, at + span)
+            rows = []
+            for anchor, content, shift, count, lead, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                at = 0
+                while at < count:
+                    band = (lead - at) // width  # of the distances band * width and up
+                    to = min(count, lead - band * width + 1)
+                    shared = data[lead - band * width:lead - (band + 1) * width + 1 + span]
+                    piece = data[at:to - 1 + span]
+                    rows.append((
+                        xxhash.xxh3_64_intdigest(shared, band) - (1 << 63), anchor, content, shift + at, to - at, lead - at, piece,
+                        xxhash.xxh3_64_intdigest(piece, lead - at) - (1 << 63)))
+                    at = to
+            for i in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * count, pa.int64()), pa.array([content] * count, pa.int64()), pa.array(at.astype(np.int32)), common.signed(hashes)],
-                    names=["anchor", "content", "first", "string"])
-
-    strings = contents.select("anchor", "content", "count", "bytes").mapInArrow(run, "anchor long, content long, first int, string long")
-    often = strings.groupBy("anchor", "string").count().where("count > 1").drop("count")
-    return strings.join(often, ["anchor", "string"], "left_semi").select("anchor", "content", "first", F.col("first").alias("last"))
+                    [pa.array(c, k) for c, k in zip(zip(*rows[i:i + 10_000], strict=True), kinds, strict=True)], names=names)
+
+    return pieces.select("anchor", "content", "shift", "count", "lead", "bytes").mapInArrow(run, PIECE + ", own long")
+
+
+def narrowed(pieces: DataFrame, span: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pieces in groups of at most ``LARGEST``, and tables of ranges (anchor,
+    content, first, last) settled on the way. At most eight rounds for a span of 200;
+    none where no group is too large."""
+    settled = []
+    width = 1 << max((span - ANCHOR).bit_length() - 1, 0)
+    columns = pieces.columns
+    while width:
+        large = common.materialise(pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(f"n > {LARGEST}").select("part"))
+        if large.isEmpty():
+            break
+        cut = common.materialise(cut_at_bands(pieces.join(large, "part", "left_semi"), width, span))
+        often = cut.groupBy("part", "own").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        settled.append(cut.join(often, ["part", "own"], "left_semi").select(
+            "anchor", "content", F.col("shift").alias("first"), (F.col("shift") + F.col("count") - 1).alias("last")))
+        pieces = common.materialise(pieces.join(large, "part", "left_anti").select(columns).union(
+            cut.dropDuplicates(["part", "own"]).select(columns)))
+        width //= 2
+    return pieces, settled
 
 
 def bytes_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -252,18 +299,22 @@ def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
     table = common.materialise(stretch_table(docs, span))
     anchors = table.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    repeated = anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    hits = common.materialise(table.join(repeated, "anchor"))
+    repeated = common.materialise(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "n"))
+    # Rows of heavy anchors are joined where they are read, the others by key.
+    limit = table.count() / HEAVY
+    heavy = F.broadcast(repeated.where(F.col("n") > limit).select("anchor", "mixed"))
+    light = repeated.where(F.col("n") <= limit).select("anchor", "mixed")
+    hits = common.materialise(table.join(heavy.select("anchor"), "anchor", "left_anti").join(light, "anchor").unionByName(
+        table.join(heavy, "anchor")))
 
     kinds = common.materialise(hits.groupBy("anchor", "content", "count", "lead", "mixed").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start")).alias("place")))
-    sizes = kinds.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = kinds.where("mixed").select("anchor", "content", "count", "lead", "place.*").join(sizes, "anchor")
-    contents = common.materialise(bytes_of(docs, wanted.drop("kinds"), span))
-    sized = contents.join(sizes, "anchor")
-    tasks = common.bucket_count(spark, contents.count(), TASK_STRETCHES)
-    partly = compared(sized.where(f"kinds <= {LARGEST}").drop("kinds"), tasks, span).union(
-        counted(sized.where(f"kinds > {LARGEST}"), span))
+    wanted = kinds.where("mixed").select("anchor", "content", "count", "lead", "place.*")
+    contents = common.materialise(bytes_of(docs, wanted, span))
+    pieces, settled = narrowed(contents.select(
+        F.col("anchor").alias("part"), "anchor", "content", F.lit(0).alias("shift"), "count", "lead", "bytes"), span)
+    tasks = common.bucket_count(spark, pieces.count(), TASK_STRETCHES)
+    partly = reduce(DataFrame.union, settled, compared(pieces, tasks, span))
     # What occurs twice as a whole is repeated from its first start to its last.
     wholly = kinds.where("n > 1").select("anchor", "content", F.lit(0).alias("first"), (F.col("count") - 1).alias("last"))
     ranges = common.materialise(wholly.union(partly))

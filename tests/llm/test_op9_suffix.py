@@ -60,6 +60,27 @@ def test_brute_force(spark, seed, monkeypatch):
     assert run(spark, made(seed)) == brute(made(seed))
 
 
+@pytest.mark.parametrize("largest", [2, 40])
+def test_an_anchor_in_most_stretches_is_split_by_context(spark, largest, monkeypatch):
+    """One phrase stands in nearly every text, between shared and own surroundings."""
+    monkeypatch.setattr(op9_suffix, "LARGEST", largest)
+    monkeypatch.setattr(op9_suffix, "TASK_STRETCHES", 16)
+    rounds = []
+    cut = op9_suffix.cut_at_bands
+    monkeypatch.setattr(op9_suffix, "cut_at_bands", lambda pieces, width, span: rounds.append(width) or cut(pieces, width, span))
+    rng = random.Random(largest)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = "the very same phrase that stands in all of the texts, word for word"
+    before, after = [own(170) for _ in range(3)], [own(170) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        a, b = rng.randrange(170), rng.randrange(170)
+        rows.append((i, own(rng.randrange(200)) + rng.choice(before)[a:] + phrase + rng.choice(after)[:b] + own(rng.randrange(200))))
+    rows += [(200, rows[5][1]), (201, "z" + rows[6][1] + "z"), (202, phrase * 9)]
+    assert run(spark, rows) == brute(rows)
+    assert rounds[:2] == [128, 64]
+
+
 def test_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
