@@ -8,27 +8,43 @@ from pyspark.sql import functions as F
 from paxcast.llm import common
 
 
+#: A node is heavy if it stands in more than one in ``HEAVY`` of the links; so there
+#: are fewer than ``HEAVY`` of them, whatever the input.
+HEAVY = 1000
+
+
+def with_least(links: DataFrame, rows: int) -> DataFrame:
+    """Each link (``u``, ``v``) with ``m``, the smallest ``v`` of its ``u``; ``rows`` is
+    at least the number of links. Links of heavy nodes are joined where they are
+    read, the others by key."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    heavy = F.broadcast(least.where(F.col("n") > rows / HEAVY).select("u", "m"))
+    light = least.where(F.col("n") <= rows / HEAVY).select("u", "m")
+    return links.join(heavy.select("u"), "u", "left_anti").join(light, "u").unionByName(links.join(heavy, "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every node that an
     edge (``a``, ``b``) touches and that isn't itself the smallest.
 
     Alternating large-star and small-star rounds: every node first hands its
     larger neighbours, then its smaller ones, to the smallest it knows. Minima are
-    combined before the shuffle and joined back, so a node with very many edges
-    is an ordinary skewed join; each round's edges are written to the shared
-    folder. Edges end as (node, smallest) after about log(n) rounds.
+    combined before the shuffle; a node with very many links is joined without one.
+    Each round's links are written to the shared folder. They end as (node,
+    smallest) after about log(n) rounds.
     """
     links = common.materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = (links.count(), None)
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rows = 2 * state[0]
+        large = with_least(both, rows).where("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = with_least(large, rows)
+        # A node's own link to its smallest, and its other neighbours' links there.
         links = common.materialise(
-            small.union(least.select("u", F.col("m").alias("v"))).distinct())
+            small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
