@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paxcast.functions.stats import norm_cdf_sql
 from paxcast.operators import regression
+from paxcast.session import materialise
 
 # The causal graph of passenger volume. Nodes as
 # (id, name, type); edges as (cause, effect, strength, lag).
@@ -65,7 +66,8 @@ def simple_paths(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     most ``max_len`` nodes, if given. A recursive query adds one edge per step; a
     path never comes back to a node, so cycles end. The session's limits on
     recursion (``spark.sql.cteRecursionLevelLimit``, ``...RowLimit``) raise an error
-    where they are passed, never a shorter answer."""
+    where they are passed, never a shorter answer. Each step reads ``edges`` again, so
+    an edge table that is costly to compute should be written first."""
     longest = f"AND size(p.path) < {int(max_len)}" if max_len else ""
     return edges.sparkSession.sql(f"""
       WITH RECURSIVE p(src, dst, path) AS (
@@ -257,11 +259,12 @@ def _effect_rows(s: DataFrame) -> DataFrame:
 
 def correlated_edges(data: DataFrame, order: list[str], top: int) -> DataFrame:
     """An edge table learnt from data: of all pairs of columns, directed by their
-    place in ``order``, the ``top`` with the largest absolute correlation."""
+    place in ``order``, the ``top`` with the largest absolute correlation. The table is
+    computed here, once, and written to the shared folder: searches read it at every step."""
     x = data.select(*(F.col(c).cast("double").alias(c) for c in order)).dropna()
     pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1:]]
     found = x.agg(F.array(*(F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.abs(F.corr(a, b)).alias("weight")) for a, b in pairs)).alias("_e"))
-    return found.select(F.inline("_e")).orderBy(F.col("weight").desc(), "src", "dst").limit(top).select("src", "dst")
+    return materialise(found.select(F.inline("_e")).orderBy(F.col("weight").desc(), "src", "dst").limit(top).select("src", "dst"), "edges")
 
 
 def trading_factors(edges: DataFrame, effects: DataFrame, target: str = TARGET) -> DataFrame:

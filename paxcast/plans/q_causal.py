@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paxcast.operators import causal
 from paxcast.plans.oracle_views import X9, gram_sql, sweep_sql, with_
 from paxcast.plans.registry import query, round_doubles, round_sql
+from paxcast.session import materialise
 from paxcast.sources import fixtures
 from paxcast.sources.tables import Tables
 
@@ -32,10 +33,9 @@ def _sample(t: Tables):
     return s.select(*[F.col(c).alias(n) for n, c in NODE_COLUMNS.items()])
 
 
-def effects(spark, t: Tables, edges=None):
+def effects(sample, edges):
     """Effects of every measured pair that the graph joins, under its adjustment set."""
-    pairs = causal.adjustment_sets(causal.edges_df(spark) if edges is None else edges)
-    return causal.ols_effects(_sample(t), pairs, NUMERIC, CATEGORICAL)
+    return causal.ols_effects(sample, causal.adjustment_sets(edges), NUMERIC, CATEGORICAL)
 
 
 SAMPLE_SQL = with_(X9) + """,
@@ -100,7 +100,7 @@ def _graph_sql() -> str:
 @query("causal_effects", "K3 K4 K5", round_sql(with_(SAMPLE_CTE, _graph_sql(), EFFECTS_CTE) + "SELECT * FROM eff", EFFECT_COLS, 4))
 def q_causal_effects(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(effects(spark, t), 4)
+    return round_doubles(effects(_sample(t), causal.edges_df(spark)), 4)
 
 
 # The learnt graph: columns in causal order, and how many edges it has.
@@ -114,8 +114,8 @@ LEARNT_SQL = ("edges AS (SELECT src, dst FROM (" + " UNION ALL ".join(
 
 @query("causal_learnt_graph", "K1 K3 K4 K5", round_sql(with_(SAMPLE_CTE, LEARNT_SQL, EFFECTS_CTE) + "SELECT * FROM eff", EFFECT_COLS, 4))
 def q_causal_learnt_graph(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return round_doubles(effects(spark, t, causal.correlated_edges(_sample(t), CAUSAL_ORDER, LEARNT_EDGES)), 4)
+    sample = materialise(_sample(Tables(spark, sf_dir)), "sample")  # read for the edges and for the fits
+    return round_doubles(effects(sample, causal.correlated_edges(sample, CAUSAL_ORDER, LEARNT_EDGES)), 4)
 
 
 TRADING_SQL = with_(SAMPLE_CTE, _graph_sql(), EFFECTS_CTE) + f"""
@@ -126,7 +126,7 @@ FROM edges e LEFT JOIN eff f ON f.cause = e.src AND f.effect = e.dst WHERE e.dst
 @query("causal_trading_factors", "K6", round_sql(TRADING_SQL, ["effect_size"], 4))
 def q_causal_trading_factors(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(causal.trading_factors(causal.edges_df(spark), effects(spark, t)), 4) \
+    return round_doubles(causal.trading_factors(causal.edges_df(spark), effects(_sample(t), causal.edges_df(spark))), 4) \
         .withColumn("lag", F.col("lag").cast("int"))
 
 
@@ -149,4 +149,4 @@ WHERE n.type <> 'target'"""
 @query("causal_risk_factors", "K1 K2 K7", round_sql(RISK_SQL, ["effect_size"], 4))
 def q_causal_risk_factors(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return round_doubles(causal.risk_factors(causal.nodes_df(spark), causal.edges_df(spark), effects(spark, t)), 4)
+    return round_doubles(causal.risk_factors(causal.nodes_df(spark), causal.edges_df(spark), effects(_sample(t), causal.edges_df(spark))), 4)

@@ -104,3 +104,31 @@ def test_dependent_controls_and_empty_tables(spark):
     assert r.effect_estimate == pytest.approx(3.0)
     assert causal.ols_effect_ml(data.limit(0), "x", "y").count() <= 1
     assert causal.adjustment_sets(graph(spark, [("a", "b")]).limit(0)).count() == 0
+
+
+def test_learnt_graph_reads_its_sample_once(spark, tmp_path, monkeypatch):
+    from paxcast.plans import q_causal
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        season, day, gdp = 1 + i % 4, i % 7, rng.gauss(50, 5)
+        price = 10 + 3 * season + 0.8 * gdp + rng.gauss(0, 1)
+        rows.append((5 * price - 2 * day + rng.gauss(0, 1), price, rng.gauss(0, 1), season, gdp, day))
+    rows.append((None, 1.0, 1.0, 1, 1.0, 0))
+    data = spark.createDataFrame(rows, "tsa_volume double, airline_prices double, weather_severity double, season long, gdp double, day_of_week long")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    monkeypatch.setattr(q_causal, "_sample", lambda t: data.mapInPandas(counted, data.schema))
+    got = q_causal.q_causal_learnt_graph(spark, str(tmp_path)).collect()
+    assert read.value == len(rows)
+    full = data.dropna().toPandas()
+    pairs = list(itertools.combinations(q_causal.CAUSAL_ORDER, 2))
+    top = sorted(pairs, key=lambda p: -abs(full[p[0]].corr(full[p[1]])))[:q_causal.LEARNT_EDGES]
+    assert {(r.cause, r.effect): r.controls.split(",") if r.controls else [] for r in got} == brute_sets(top)
+    assert {r.n_obs for r in got} == {400}
