@@ -9,7 +9,7 @@ labelled rows that the dictionaries have not seen.
 
 The fit takes a bounded, documented sample of labelled training rows
 (``toxic_limit`` and ``ordinary_limit`` documents of at most ``fit_bytes``
-bytes). Every whole text is scored, in its own task, without a shuffle.
+bytes) and runs in one task. Every whole text is scored, in its own task, without a shuffle.
 
 Defined cases: a null or empty text has no window and gets the score of a text
 without gains; repeated rows are scored one by one; rows without a label, or
@@ -145,9 +145,9 @@ def fit(toxic: list[str], ordinary: list[str], toxic_rows: int, ordinary_rows: i
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
     rng = random.Random(seed)
-    parts = []
+    parts, known = [], {}
     for texts in (toxic, ordinary):
-        words = [windows(t) for t in texts]
+        words = [[known.setdefault(w, w) for w in windows(t)] for t in texts]  # equal windows are one object
         rng.shuffle(words)
         parts.append((words[::2], words[1::2]))
     base, special = fit_dictionaries(parts[0][0], parts[1][0], rng)
@@ -182,25 +182,51 @@ def scorer(model: dict):
     return lambda text: float(1 / (1 + np.exp(-np.clip(features(counts(gauge, windows(text)), weights) @ coefficients, -30, 30))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic_limit: int, ordinary_limit: int, fit_bytes: int):
-    """Texts of a random sample of labelled training rows, bounded per label, and
-    the number of training rows of each label."""
+def sampled(docs: DataFrame, labels: DataFrame, toxic_limit: int, ordinary_limit: int, fit_bytes: int):
+    """A random sample of labelled training rows, bounded per label, as ``toxic``,
+    ``doc_id``, ``text``, and the number of training rows of each label."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~common.held_out("doc_id", 4, 2))
     rows = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     texts = docs.select("doc_id", "text").where(f"octet_length(text) between 1 and {fit_bytes}")
     usable = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    out = []
-    for label, limit in ((1, toxic_limit), (0, ordinary_limit)):
-        chosen = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
-        ids = [r[0] for r in chosen.collect()]
-        found = texts.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-        out.append([r.text for r in found])
-    return out[0], out[1], rows.get(1, 0), rows.get(0, 0)
+    chosen = [
+        usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("toxic", "doc_id")
+        for label, limit in ((1, toxic_limit), (0, ordinary_limit))]
+    found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    return found.groupBy("toxic", "doc_id").agg(F.min("text").alias("text")), rows.get(1, 0), rows.get(0, 0)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, toxic_limit: int, ordinary_limit: int, fit_bytes: int):
+    """The sample's texts of label 1 and of label 0, collected, and the number of
+    training rows of each label."""
+    found, *rows = sampled(docs, labels, toxic_limit, ordinary_limit, fit_bytes)
+    found = found.orderBy("doc_id").collect()
+    return [r.text for r in found if r.toxic == 1], [r.text for r in found if r.toxic == 0], *rows
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_limit: int = 1600, ordinary_limit: int = 4000, fit_bytes: int = 40_000) -> dict | None:
-    return fit(*training_sample(docs, labels, toxic_limit, ordinary_limit, fit_bytes))
+    """The model, fitted to the sample by one task; the driver gets the model alone."""
+    found, toxic_rows, ordinary_rows = sampled(docs, labels, toxic_limit, ordinary_limit, fit_bytes)
+
+    def run(batches):
+        texts = {1: [], 0: []}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts[label].append(text)
+        model = fit(texts[1], texts[0], toxic_rows, ordinary_rows)
+        if model:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model["base"]], pa.binary()), pa.array([model["special"]], pa.binary()),
+                 *(pa.array([model[c].tolist()], pa.list_(pa.float64())) for c in ("weights", "coefficients"))],
+                names=["base", "special", "weights", "coefficients"])
+
+    fitted = found.repartition(1).sortWithinPartitions("doc_id").select("toxic", "text").mapInArrow(
+        run, "base binary, special binary, weights array<double>, coefficients array<double>").collect()
+    if not fitted:
+        return None
+    row = fitted[0]
+    return {"base": bytes(row.base), "special": bytes(row.special), "weights": np.array(row.weights), "coefficients": np.array(row.coefficients)}
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, carry: str | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -46,6 +47,27 @@ def test_learns_only_from_training_rows(tables):
         assert any(zlib.crc32(str(i).encode()) % 4 != 2 for i in by_text[text])
 
 
+def test_fit_runs_in_a_task_and_equals_the_local_one(spark, monkeypatch):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice(["ba", "do", "mi", "ru", "ta", "ne"]) for _ in range(3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(plain, k=60) + ["wretched", "vermin"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(200)]
+    rows += [(5, "twice", 0), (5, None, 1), (None, "no id", 1), (999, "", 0)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = both.select("doc_id", "text"), both.select("doc_id", "toxic")
+    want = op4_toxicity.fit(*op4_toxicity.training_sample(docs, labels, 40, 70, 40_000))
+
+    real, driver = op4_toxicity.fit, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "the fit ran in the driver"
+        return real(*args)
+
+    monkeypatch.setattr(op4_toxicity, "fit", elsewhere)
+    got = op4_toxicity.train(docs, labels, 40, 70, 40_000)
+    assert got["base"] == want["base"] and got["special"] == want["special"]
+    assert np.allclose(got["weights"], want["weights"]) and np.allclose(got["coefficients"], want["coefficients"])
+
+
 def test_defined_cases(spark, tables, model):
     docs = spark.createDataFrame(
         [(1, None), (2, ""), (3, "  \n"), (4, "x" * 100_000), (4, "x" * 100_000), (None, "idiot scum")], "doc_id long, text string").withColumn("score", F.lit("a"))
