@@ -8,12 +8,22 @@ never deleted when a neighbour changes; a popped entry whose symbols no longer
 form the rank's pair is stale and skipped. A piece of n bytes has at most 3n
 entries, so a piece of a hundred thousand bytes costs no more per byte than a
 short one (but for the bucket's own ordering).
+
+Many pieces share one queue: their symbols stand in one list with separators
+between them, which form no pair, so that a bucket is popped once for all pieces
+and each piece still sees its own merges lowest rank first, leftmost first.
 """
 
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
+
+import numpy as np
+
+#: Bytes of pieces that share a queue; a longer piece has one of its own.
+GROUP_BYTES = 1 << 15
+#: Symbols that no pair has: between two pieces, and the right half of a merge.
+SEPARATOR, MERGED = -1, -2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -27,78 +37,119 @@ class Merger:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         get = ranks.get
-        self.pairs = {}
+        #: By left symbol, then right symbol, and the other way round: the rank of the pair.
+        self.by_left, self.by_right = {}, {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = get(token[:cut]), get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.by_left.setdefault(left, {})[right] = rank
+                    self.by_right.setdefault(right, {})[left] = rank
+        self.of_bytes = np.array([get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.n_words = (max(ranks.values()) >> 8) + 1
 
     def __call__(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: lowest rank first, leftmost first among equals."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        single, get = self.single, self.pairs.get
-        symbol = [single[b] for b in piece]
-        n = len(symbol)
-        following = list(range(1, n + 1))
-        preceding = list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        summary = 0
-        left = symbol[0]
-        for i in range(1, n):
-            right = symbol[i]
-            rank = get(left << 32 | right)
-            left = right
-            if rank is None:
+        """Ids of one pre-token."""
+        return np.frombuffer(self.many([piece])[0], "<u4").tolist()
+
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
+        out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in map(self.ranks.get, pieces)]
+        group, size = [], 0
+        for at, piece in enumerate(pieces):
+            if out[at]:
                 continue
-            if rank in buckets:
-                buckets[rank].append(i - 1)  # ascending, so a heap already
-            else:
-                buckets[rank] = [i - 1]
-                high = rank >> 8
-                words[high] = words.get(high, 0) | 1 << (rank & 255)
-                summary |= 1 << high
+            if group and size + len(piece) > GROUP_BYTES:
+                self._fill(out, pieces, group)
+                group, size = [], 0
+            group.append(at)
+            size += len(piece)
+        if group:
+            self._fill(out, pieces, group)
+        return out
+
+    def _fill(self, out: list[bytes], pieces: list[bytes], group: list[int]) -> None:
+        for at, ids in zip(group, self._merge([pieces[at] for at in group])):
+            out[at] = ids
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Merges through one queue: lowest rank first, leftmost first among equals."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        place = np.arange(len(data)) + np.repeat(np.arange(1, len(pieces) + 1), lengths)
+        n = len(data) + len(pieces) + 1
+        symbol = np.full(n, SEPARATOR, np.int64)
+        symbol[place] = self.single[data]
+        symbol = symbol.tolist()
+        following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        first = self.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+        paired = np.flatnonzero((first >= 0) & (np.diff(place) == 1))
+        paired = paired[np.argsort(first[paired], kind="stable")]
+        pending = np.full(n, SEPARATOR, np.int64)  # rank of the pair that begins at a position
+        pending[place[paired]] = first[paired]
+        pending = pending.tolist()
+        found, at = np.unique(first[paired], return_index=True)
+        at = [*at.tolist(), len(paired)]
+        positions = place[paired].tolist()
+        buckets = {rank: positions[a:b] for rank, a, b in zip(found.tolist(), at, at[1:])}
+        words, summary = [0] * self.n_words, 0
+        for rank in buckets:
+            words[rank >> 8] |= 1 << (rank & 255)
+            summary |= 1 << (rank >> 8)
+
+        none: dict[int, int] = {}
         while summary:
             high = (summary & -summary).bit_length() - 1
             word = words[high]
             rank = high << 8 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
-            if not bucket:
-                del buckets[rank]
-                words[high] = word = word & (word - 1)
-                if not word:
-                    summary &= summary - 1
-            left, j = symbol[i], following[i]
-            if left < 0 or j >= n or get(left << 32 | symbol[j]) != rank:
-                continue  # stale
-            symbol[i], symbol[j] = rank, -1
-            following[i] = k = following[j]
-            before = preceding[i]
-            if k < n:
+            words[high] = word = word & (word - 1)
+            if not word:
+                summary &= summary - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            with_right = self.by_left.get(rank, none).get
+            with_left = self.by_right.get(rank, none).get
+            lower = False
+            for popped, i in enumerate(bucket, 1):
+                if pending[i] != rank:
+                    continue  # stale
+                j = following[i]
+                following[i] = k = following[j]
                 preceding[k] = i
-                fresh = get(rank << 32 | symbol[k])
+                before = preceding[i]
+                symbol[i], symbol[j] = rank, MERGED
+                pending[j] = None
+                pending[i] = fresh = with_right(symbol[k])
                 if fresh is not None:
                     if fresh in buckets:
-                        heappush(buckets[fresh], i)
+                        buckets[fresh].append(i)
                     else:
                         buckets[fresh] = [i]
-                        high = fresh >> 8
-                        words[high] = words.get(high, 0) | 1 << (fresh & 255)
-                        summary |= 1 << high
-            if before >= 0:
-                fresh = get(symbol[before] << 32 | rank)
+                        words[fresh >> 8] |= 1 << (fresh & 255)
+                        summary |= 1 << (fresh >> 8)
+                        lower = fresh < rank
+                pending[before] = fresh = with_left(symbol[before])
                 if fresh is not None:
                     if fresh in buckets:
-                        heappush(buckets[fresh], before)
+                        buckets[fresh].append(before)
                     else:
                         buckets[fresh] = [before]
-                        high = fresh >> 8
-                        words[high] = words.get(high, 0) | 1 << (fresh & 255)
+                        words[fresh >> 8] |= 1 << (fresh & 255)
+                        summary |= 1 << (fresh >> 8)
+                        lower = lower or fresh < rank
+                if lower:  # that merge comes before the rest of this bucket
+                    if popped < len(bucket):
+                        buckets[rank] = bucket[popped:]
+                        words[high] |= 1 << (rank & 255)
                         summary |= 1 << high
-        return [s for s in symbol if s >= 0]
+                    break
+
+        left = np.array(symbol, np.int64)[place]
+        alive = left >= 0
+        ids = left[alive].astype("<u4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], np.cumsum(lengths)])]
+        bounds = (4 * ends).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 Every task loads the rank file by its path (a parameter), cuts each text with
-the pre-token pattern and merges each new pre-token with the rank queue of
-``bpe.Merger``. Nothing is shuffled.
+the pre-token pattern and merges the new pre-tokens of a stretch of rows with
+the rank queue of ``bpe.Merger``. Nothing is shuffled.
 
 Defined cases: a null text is empty; an empty text has no ids; repeated rows are
 encoded one by one; an empty table gives an empty result; other columns are
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from paxcast.llm import bpe, common, pretoken
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> pretoken.Encoder:
-    merge = bpe.Merger(ranks)
-    return pretoken.Encoder(pattern, lambda piece: array("I", merge(piece.encode())).tobytes())
+def encoder(ranks: dict[bytes, int], pattern: str) -> pretoken.BatchEncoder:
+    merge = bpe.Merger(ranks).many
+    return pretoken.BatchEncoder(pattern, lambda pieces: merge([piece.encode() for piece in pieces]))
 
 
 def decoder(ranks: dict[bytes, int]):
@@ -51,7 +51,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
-                ids = [np.frombuffer(to_ids(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(raw, np.int32) for raw in to_ids.many([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([to_bytes(x.tolist()) for x in ids], pa.binary())],
                     names=[id_col, "ids", "decoded"])
@@ -68,11 +68,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         to_ids, to_bytes = coders(path, pattern)
         for batch in batches:
-            for row in range(0, batch.num_rows, 512):
-                part = batch.slice(row, 512)
+            for chunk in common.chunks([batch], limit=1 << 20):
+                part = chunk.batch
                 counts, ids_sha, decoded_sha = [], [], []
-                for text in part.column(1).to_pylist():
-                    raw = to_ids(text or "")
+                for raw in to_ids.many([t or "" for t in part.column(1).to_pylist()]):
                     counts.append(len(raw) // 4)
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     decoded_sha.append(hashlib.sha256(to_bytes(array("I", raw))).hexdigest())

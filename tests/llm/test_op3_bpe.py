@@ -48,6 +48,39 @@ def test_small_caches_change_nothing(reference, ranks):
         assert list(struct.unpack(f"<{len(r := encode(text)) // 4}I", r)) == reference.encode_ordinary(text)
 
 
+def test_many_texts_share_a_queue_and_caches(reference, ranks):
+    from paxcast.llm.pretoken import BatchEncoder
+    merge, calls = bpe.Merger(ranks).many, []
+
+    def encode_pieces(pieces):
+        calls.append(len(pieces))
+        return merge([p.encode() for p in pieces])
+
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in map(reference.encode_ordinary, texts())]
+    encode = BatchEncoder(P.PATTERN, encode_pieces)
+    assert encode.many(texts()) == want and len(calls) <= 3
+    learnt = sum(calls)
+    assert encode.many(texts()) == want and sum(calls) == learnt
+    small = BatchEncoder(P.PATTERN, encode_pieces, limit=20)  # turns over and over, both halves in use
+    for at in range(0, len(want), 7):
+        assert small.many(texts()[at:at + 7]) == want[at:at + 7]
+    assert encode.many([]) == [] and encode.many(["", "a"])[0] == b""
+
+
+def test_merger_equals_the_library_on_any_ranks():
+    rng = random.Random(5)
+    for _ in range(30):
+        # tokens in any order: a longer one may rank before the parts it is made of
+        made = {bytes(rng.choices(b"abc", k=rng.randrange(2, 6))) for _ in range(40)}
+        tokens = [bytes([b]) for b in range(256)] + sorted(made, key=lambda t: rng.random())
+        rng.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        library = tiktoken.Encoding("made", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})
+        pieces = [bytes(rng.choices(b"abc", k=rng.randrange(1, 40))) for _ in range(50)] + [b"a" * 3000]
+        got = bpe.Merger(ranks).many(pieces)
+        assert [list(struct.unpack(f"<{len(r) // 4}I", r)) for r in got] == [library.encode_ordinary(p.decode()) for p in pieces]
+
+
 def test_query_digests(spark, reference):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (None, "a b"), (None, "a b")], "doc_id long, text string")
